@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .html_text import op2_html_text
+from .line_dedup import op4_line_dedup
+from .lm_scoring import op6_lm_scoring
 from .mixing import op1_mixing
 from .ngram_join import op5_ngram_join
 from .quality import op3_quality
 from .sharding import op9_sharding
+from .token_counts import op10_token_counts
+from .warc import op7_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html_text": op2_html_text,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+#: op7's digest columns follow from the table alone; the archives themselves are held by a round trip.
+ORACLES = {}
