@@ -621,3 +621,24 @@ def _(s, d):
     gx = F.round((F.col("min_x") - p.min_x) / CELL).cast("int") + F.col("tile_col")
     gy = F.round((F.col("max_y") - p.min_y) / CELL).cast("int") - 1 - F.col("tile_row")
     return per.select(gx.alias("gx"), gy.alias("gy"), "total_returns", "elev_max", "elev_p95")
+
+
+# ---------------------------------------------------------------- chains and surfaces as points
+
+
+@query("pipeline_canopy_tops", f"WITH {_TOPS.replace('WHERE classification = 5', '')} SELECT CAST(row_number() OVER (ORDER BY row, col) AS INT) tree_id, row, col, round(value, 6) AS height FROM tops")
+def _(s, d):
+    from . import pipeline
+
+    chain = ["filterdata", "canopymodel", "canopymaxima"]
+    out = pipeline.run(testcloud.points(s, d), on_grid(s, d, 2.0), chain, {"canopymaxima": {"minht": 20.0, "a": 1.0, "b": 0.1}})
+    return out["canopymaxima"].select("tree_id", "row", "col", "height")
+
+
+@query("surface_as_points", f"WITH {CHM}, p AS (SELECT x0 + (col + 0.5) * 2.0 AS x, y1 - (row + 0.5) * 2.0 AS y, value AS z FROM chm, box) SELECT CAST(floor((x - x0) / {CELL}) AS INT) col, CAST(floor((y1 - y) / {CELL}) AS INT) row, count(*) total_returns, round(max(z), 6) elev_max, round(avg(z) + {OFF_TIE}, 6) AS elev_mean FROM p, box GROUP BY 1, 2")
+def _(s, d):
+    from ..sources.rasters import as_points
+
+    c, g = chm(s, d)
+    m = grid.grid_metrics(as_points(c, g).withColumn("h", F.col("z")), on_grid(s, d), grid.Metrics(minht=0.0, intensity=False))
+    return m.select("row", "col", "total_returns", "elev_max", (F.col("elev_mean") + OFF_TIE).alias("elev_mean"))
