@@ -137,41 +137,62 @@ def _profile(ranks):
     return run
 
 
+def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m members whose first common n-gram stands at places at and bt can link: what follows it in
+    either order bounds the intersection, and the sizes bound what is needed."""
+    return (100 + PERCENT) * np.minimum(n - at, m - bt) >= PERCENT * (n + m)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, node) sorted by both: each n-gram's documents, in blocks of BLOCK and pairs of blocks."""
+    """Rows (gram, node, size and place of the n-gram) sorted by gram and node: each n-gram's documents that can link by
+    size and place, in blocks of BLOCK and pairs of blocks."""
 
-    def blocks(nodes: np.ndarray) -> Iterator[np.ndarray]:
-        if len(nodes) <= 2 * BLOCK:
-            yield nodes
-            return
-        parts = [nodes[i : i + BLOCK] for i in range(0, len(nodes), BLOCK)]
+    def blocks(nodes: np.ndarray, facts: np.ndarray) -> Iterator[np.ndarray]:
+        n, at = facts >> 32, facts & 0xFFFFFFFF
+        parts = [np.arange(len(nodes))] if len(nodes) <= 2 * BLOCK else [np.arange(i, min(i + BLOCK, len(nodes))) for i in range(0, len(nodes), BLOCK)]
         for i in range(len(parts)):
-            for j in range(i + 1, len(parts)):
-                yield np.concatenate([parts[i], parts[j]])
+            for j in range(i + 1, len(parts)) if len(parts) > 1 else [i]:
+                x = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
+                ok = _may_link(n[x, None], at[x, None], n[x], at[x])
+                np.fill_diagonal(ok, False)
+                if (keep := ok.any(1)).any():
+                    yield nodes[x[keep]]
 
     def made(groups: list[np.ndarray]) -> pa.RecordBatch:
         keys = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in groups]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups, pa.list_(pa.int64()))], names=["block", "nodes"])
 
-    rest_g, rest_n, groups, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-    for batch in batches:
-        g = np.concatenate([rest_g, batch.column(0).to_numpy()])
-        n = np.concatenate([rest_n, batch.column(1).to_numpy()])
-        if not g.size:
-            continue
+    rest, groups, held = [np.zeros(0, np.int64)] * 3, [], 0
+
+    def whole(g: np.ndarray, nodes: np.ndarray, facts: np.ndarray) -> None:
+        nonlocal held
+        new = np.r_[True, (g[1:] != g[:-1]) | (nodes[1:] != nodes[:-1])]
+        g, nodes, facts = g[new], nodes[new], facts[new]
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        whole = starts[:-1]
-        lengths = np.diff(starts)
-        for at, length in zip(whole[lengths > 1], lengths[lengths > 1], strict=True):
-            for x in blocks(n[at : at + length]):
+        lengths = np.diff(np.r_[starts, len(g)])
+        two = starts[lengths == 2]
+        n, at = facts >> 32, facts & 0xFFFFFFFF
+        two = two[_may_link(n[two], at[two], n[two + 1], at[two + 1])]
+        groups.extend(np.stack([nodes[two], nodes[two + 1]], 1))
+        held += 2 * len(two)
+        for s, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
+            for x in blocks(nodes[s : s + length], facts[s : s + length]):
                 groups.append(x)
                 held += len(x)
-                if held > 200_000:
-                    yield made(groups)
-                    groups, held = [], 0
-        rest_g, rest_n = g[starts[-1] :], n[starts[-1] :]
-    if rest_n.size > 1:
-        groups.extend(blocks(rest_n))
+
+    for batch in batches:
+        now = [np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest)]
+        if not now[0].size:
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last n-gram may go on in the next batch
+        if cut:
+            whole(*(x[:cut] for x in now))
+        rest = [x[cut:] for x in now]
+        if held > 200_000:
+            yield made(groups)
+            groups, held = [], 0
+    if rest[0].size:
+        whole(*rest)
     if groups:
         yield made(groups)
 
@@ -301,7 +322,7 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     1. Count n-grams by cell (gram_ranks). 2. Each document's set, its rarest n-grams (a prefix that a linked document must
     share one of, from its size) and its bits. Documents with equal sets become one node. 3. Nodes that share a prefix
-    n-gram meet in blocks; equal blocks once. 4. Each block's product by bits gives about a spanning forest of the pairs
+    n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. Each block's product by bits gives about a spanning forest of the pairs
     that may link. 5. Those are tested on the full sets; links give components. 6. Every pair across two of these components
     that may still link is tested too: no link between different components is lost, and none within one matters.
 
@@ -314,7 +335,8 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     profile = d.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_profile(ranks), "doc_id long, n long, h long, node long, prefix array<long>, bits binary")
     profile = materialise(profile, "join-profile")
     named = profile.where("node is not null")
-    shared = named.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("gram"), "node")
+    once = named.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    shared = once.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("facts"))
     runs = shared.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_runs, "block long, nodes array<long>")
     blocks = materialise(runs.groupBy("block").agg(F.first("nodes").alias("nodes")), "join-blocks")
     members = blocks.select("block", F.explode("nodes").alias("node"))
