@@ -74,6 +74,8 @@ def bundle_from_counts(df: DataFrame, keys: list[str], value: str, prefix: str)
     Values are first counted (combined before the shuffle), so a group costs one row per distinct value; ranks, percentiles
     and moments come from running counts. No group is ever gathered in one array.
     """
+    given, keys = keys, [f"__key{i}" for i in range(len(keys))]  # names of their own: a caller's keys may be called anything
+    df = df.select(*[F.col(g).alias(k) for g, k in zip(given, keys, strict=True)], value)
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("k"))
     w, whole = Window.partitionBy(*keys).orderBy("x"), Window.partitionBy(*keys)
     c = c.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(whole)).withColumn("mean", F.sum(F.col("k") * F.col("x")).over(whole) / F.col("n"))
@@ -105,7 +107,7 @@ def bundle_from_counts(df: DataFrame, keys: list[str], value: str, prefix: str)
     under = {"b1": n - 1, "b2": (n - 1) * (n - 2), "b3": (n - 1) * (n - 2) * (n - 3)}
     for name, u in under.items():
         out = out.withColumn(name, F.when(n > int(name[1]), F.col(name) / u / n).otherwise(0.0))
-    return _derived(out, prefix, [f"`{c}`" for c in keys])
+    return _derived(out, prefix, [f"`{k}` AS `{g}`" for g, k in zip(given, keys, strict=True)])
 
 
 def profile_area(prefix: str = "elev_") -> Column:

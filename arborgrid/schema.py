@@ -9,19 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINT = T._parse_datatype_string(
+_KINDS = {"int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "smallint": T.ShortType, "boolean": T.BooleanType, "string": T.StringType}
+
+
+def _struct(text: str) -> T.StructType:
+    """'name type, ...' to a struct, without a session."""
+    return T.StructType([T.StructField(n, _KINDS[t]()) for n, t in (x.split() for x in text.split(","))])
+
+
+POINT = _struct(
     "file_idx int, pt_idx long, x double, y double, z double, intensity int, return_number smallint, number_of_returns smallint, "
     "classification smallint, scan_angle smallint, point_source_id int, gps_time double, red int, green int, blue int, nir int, "
     "withheld boolean, keypoint boolean, synthetic boolean, overlap boolean, scanner_channel smallint"
 )
-FILES = T._parse_datatype_string(
+FILES = _struct(
     "file_idx int, path string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, "
     "version string, point_format smallint, is_compressed boolean, wkt string"
 )
-FEATURE = T._parse_datatype_string(
-    "feature_idx int, label string, min_x double, min_y double, max_x double, max_y double, "
-    "rings array<struct<poly:int,xs:array<double>,ys:array<double>>>"
-)
+_RING = T.StructType([T.StructField("poly", T.IntegerType()), T.StructField("xs", T.ArrayType(T.DoubleType())), T.StructField("ys", T.ArrayType(T.DoubleType()))])
+FEATURE = _struct("feature_idx int, label string, min_x double, min_y double, max_x double, max_y double").add("rings", T.ArrayType(_RING))
 
 
 @dataclass(frozen=True)
