@@ -127,12 +127,12 @@ def _profile(ranks):
                     keep = n - -(-PERCENT * n // 100) + 1
                     first = np.lexsort((g, order[(g & np.uint64(COUNT_CELLS - 1)).astype(np.int64)]))[:keep]
                     node = xxhash.xxh3_64_intdigest(g.tobytes(), n) >> 1  # the set's identity: equal sets share it
-                    rows.append((doc, n, h, node, g[first].view(np.int64), bitmap(g).tobytes()))
+                    rows.append((doc, n, h, node, g[first].view(np.int64)))
                 else:
-                    rows.append((doc, 0, h, None, None, None))
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
-            c = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "n", "h", "node", "prefix", "bits"])
+                    rows.append((doc, 0, h, None, None))
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            c = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "n", "h", "node", "prefix"])
 
     return run
 
@@ -266,17 +266,17 @@ def _product(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _sets(bits):
-    """Rows (h, text): the sets of texts whose hash h may be wanted, by a bit table of fixed size."""
+def _sets(sent, made):
+    """Rows (h, text): made(set) of texts whose hash h may be wanted, by a bit table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        table = sent.value
         for batch in batches:
             h = batch.column(0).to_numpy()
             at = (h & (len(table) * 8 - 1)).astype(np.int64)
             rows = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[rows], pa.int64()), pa.array([shingles(texts[int(r)].as_py()).tobytes() for r in rows], pa.binary())], names=["h", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows], pa.int64()), pa.array([made(shingles(texts[int(r)].as_py())).tobytes() for r in rows], pa.binary())], names=["h", "grams"])
 
     return run
 
@@ -299,30 +299,39 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _tested(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b of nodes) with `linked`, from the whole sets. texts: h, text. reps: node, h."""
+def _wanted_sets(texts: DataFrame, wanted: DataFrame, made) -> DataFrame:
+    """node, made: made(set) of the wanted nodes (node, h), from their texts (h, text). Texts do not move: a bit table of
+    the wanted hashes picks them where they are read, and only what is made of them is shuffled."""
     spark = texts.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted.join(reps, "node").select("node", "h"), "join-wanted")
     spot = F.col("h").bitwiseAND(F.lit(SET_BITS - 1))
     blobs = wanted.select(F.shiftright(spot, 15).alias("p"), spot.bitwiseAND(F.lit(32767)).cast("long").alias("bit")).groupBy("p").agg(F.bitmap_construct_agg("bit").alias("m"))
     table = np.zeros(SET_BITS // 8, np.uint8)
     for r in blobs.collect():  # SET_BITS / 32768 rows of 4 KB
         table[r["p"] * 4096 : (r["p"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    sent = spark.sparkContext.broadcast(table)
-    sets = texts.mapInArrow(_sets(sent), "h long, grams binary").join(wanted, "h").groupBy("node").agg(F.max("grams").alias("grams"))
-    sets = materialise(sets, "join-sets")
+    found = texts.mapInArrow(_sets(spark.sparkContext.broadcast(table), made), "h long, made binary")
+    return found.join(wanted, "h").groupBy("node").agg(F.max("made").alias("made"))
+
+
+def _itself(grams: np.ndarray) -> np.ndarray:
+    return grams
+
+
+def _tested(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b of nodes) with `linked`, from the whole sets. texts: h, text. reps: node, h."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(wanted.join(reps, "node").select("node", "h"), "join-wanted")
+    sets = materialise(_wanted_sets(texts, wanted, _itself), "join-sets")
     edge = pairs.select(F.xxhash64("a", "b").alias("edge"), "a", "b", F.explode(F.array("a", "b")).alias("node"))
-    both = edge.join(sets, "node").select("edge", "a", "b", "grams")
+    both = edge.join(sets, "node").select("edge", "a", "b", F.col("made").alias("grams"))
     return both.repartition("edge").sortWithinPartitions("edge", "a", "b").mapInArrow(_overlap, "a long, b long, linked boolean")
 
 
 def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-    1. Count n-grams by cell (gram_ranks). 2. Each document's set, its rarest n-grams (a prefix that a linked document must
-    share one of, from its size) and its bits. Documents with equal sets become one node. 3. Nodes that share a prefix
-    n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. Each block's product by bits gives about a spanning forest of the pairs
+    1. Count n-grams by cell (gram_ranks). 2. Of each document's set its rarest n-grams: a prefix, its length from
+    the set's size, that a linked document must share one of. Documents with equal sets become one node. 3. Nodes that share a prefix
+    n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. The product of each block's bit rows gives about a spanning forest of the pairs
     that may link. 5. Those are tested on the full sets; links give components. 6. Every pair across two of these components
     that may still link is tested too: no link between different components is lost, and none within one matters.
 
@@ -332,7 +341,7 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     ranks = spark.sparkContext.broadcast(gram_ranks(d, "text"))
-    profile = d.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_profile(ranks), "doc_id long, n long, h long, node long, prefix array<long>, bits binary")
+    profile = d.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_profile(ranks), "doc_id long, n long, h long, node long, prefix array<long>")
     profile = materialise(profile, "join-profile")
     named = profile.where("node is not null")
     once = named.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
@@ -340,8 +349,10 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     runs = shared.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_runs, "block long, nodes array<long>")
     blocks = materialise(runs.groupBy("block").agg(F.first("nodes").alias("nodes")), "join-blocks")
     members = blocks.select("block", F.explode("nodes").alias("node"))
-    nodes = named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
-    nodes = materialise(nodes.agg(F.max("n").alias("n"), F.min("h").alias("h"), F.max("bits").alias("bits")), "join-bits")
+    texts = d.select(F.xxhash64("text").alias("h"), "text")
+    nodes = named.select("node", "n", "h").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.min("h").alias("h"))
+    nodes = materialise(nodes, "join-nodes")
+    nodes = materialise(nodes.join(_wanted_sets(texts, nodes.select("node", "h"), bitmap), "node").withColumnRenamed("made", "bits"), "join-bits")
     comps = tested = None
     for first in (True, False):
         side = nodes.select("node", "n", F.col("node").alias("component"), "bits")
@@ -357,7 +368,7 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         pairs = materialise(pairs if first else pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         if pairs.isEmpty():
             break
-        verdict = materialise(_tested(d.select(F.xxhash64("text").alias("h"), "text"), nodes.select("node", "h"), pairs), "join-verdict")
+        verdict = materialise(_tested(texts, nodes.select("node", "h"), pairs), "join-verdict")
         tested = verdict if first else tested.unionAll(verdict)
         comps = components(tested.where("linked").select("a", "b"))
     labels = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
