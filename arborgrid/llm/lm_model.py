@@ -12,7 +12,7 @@ MEMBERS = VOCABULARY // CLASSES
 END, BEGIN = VOCABULARY - 2, VOCABULARY - 1
 WIDTH, HIDDEN = 16, 32
 #: Tokens of a window, and of them those that repeat the end of the window before, as context only.
-WINDOW, OVERLAP = 16, 4
+WINDOW, OVERLAP = 16, 3
 Params = dict[str, np.ndarray]
 
 

@@ -179,9 +179,23 @@ class _Lexicon(dict):
         self.subs: list = []
         self.hashes: list[int] = []
         self.counts: list[int] = []  # -1: not a frequent word
+        self.size = 0
+        self.done = [np.zeros(0, np.int64) for _ in range(4)]  # counts, hashes, lengths, subwords end to end
+
+    def __len__(self) -> int:
+        return self.size + len(self.subs)
+
+    def arrays(self) -> list[np.ndarray]:
+        """All words' arrays; only words new since the last call are turned into arrays."""
+        if self.subs:
+            new = [np.array(self.counts, np.int64), np.array(self.hashes, np.uint64).view(np.int64), np.fromiter(map(len, self.subs), np.int64, len(self.subs)), np.fromiter(chain.from_iterable(self.subs), np.int64)]
+            self.done = [np.concatenate(x) for x in zip(self.done, new, strict=True)]
+            self.size += len(self.subs)
+            self.subs, self.hashes, self.counts = [], [], []
+        return self.done
 
     def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self.subs)
+        k = self[word] = self.size + len(self.subs)
         h = xxhash.xxh3_64_intdigest(word)
         self.hashes.append(h)
         at = self.hot.get(h - (1 << 64) if h >> 63 else h)
@@ -205,9 +219,7 @@ def _score(path: str, sent):
             nonlocal pending, held, row
             sizes = np.array([len(x[2]) for x in pending], np.int64)
             flat = np.concatenate([x[2] for x in pending]) if sizes.sum() else np.zeros(0, np.int64)
-            counts, hashes = np.array(lexicon.counts, np.int64), np.array(lexicon.hashes, np.uint64).view(np.int64)
-            length = np.array([len(s) for s in lexicon.subs], np.int64)
-            store = np.fromiter(chain.from_iterable(lexicon.subs), np.int64)
+            counts, hashes, length, store = lexicon.arrays()
             offset = np.cumsum(length) - length
             # the end is one more word, with one subword
             word_count, word_len = np.append(counts, end_count), np.append(length, 1)
