@@ -44,25 +44,35 @@ _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def _block(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    x = p["embed"][x_ids] + p["place"]
+    x = p["embed"].take(x_ids, axis=0)
+    x += p["place"]
     scale = WIDTH**-0.5
     all3 = x.reshape(-1, WIDTH) @ np.concatenate([p["q"] * x.dtype.type(scale), p["k"], p["v"]], 1)
-    q, k, v = (w.reshape(x.shape) for w in np.split(all3, 3, 1))
+    q, k, v = (all3[:, j : j + WIDTH].reshape(x.shape) for j in range(0, 3 * WIDTH, WIDTH))
     s = q @ k.transpose(0, 2, 1)
     np.clip(s, -60, 60, out=s)  # so that exp needs no maximum; far beyond what trained weights give
     np.exp(s, out=s)
     s *= _MASK
-    s /= s.sum(-1, keepdims=True)
+    s /= s @ np.ones((WINDOW, 1), s.dtype)
     u = s @ v
-    h = x + u @ p["o"]
-    z = h @ p["up"] + p["up_b"]
-    r = np.maximum(z, 0)
-    return h + r @ p["down"], (x, q, k, v, s, u, h, r)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    h = u.reshape(-1, WIDTH) @ p["o"]
+    h += x.reshape(-1, WIDTH)
+    r = h @ p["up"]
+    r += p["up_b"]
+    np.maximum(r, 0, out=r)
+    out = r @ p["down"]
+    out += h
+    return out.reshape(x.shape), (x, q, k, v, s, u, h.reshape(x.shape), r.reshape(*x.shape[:2], HIDDEN))
+
+
+def _by_class(h: np.ndarray, ends: np.ndarray, p: Params) -> np.ndarray:
+    """Members' scores for states sorted by class, ends[k] being where class k starts: one product a class."""
+    out = np.empty((len(h), MEMBERS), h.dtype)
+    for k in np.flatnonzero(np.diff(ends)):
+        part = out[ends[k] : ends[k + 1]]
+        np.matmul(h[ends[k] : ends[k + 1]], p["mem"][k], out=part)
+        part += p["mem_b"][k]
+    return out
 
 
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -73,21 +83,22 @@ def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
-def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """ln P(y) for each state of h: the class, then the member of the class. States are sorted by class: one product each."""
-    c, m = np.divmod(y, MEMBERS)
+def _sorted_by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of targets by class; their classes and members in that order; each class's start."""
+    c = (y // MEMBERS).astype(np.uint8)
     order = np.argsort(c, kind="stable")
-    h, c, m = h[order], c[order], m[order]
+    c = c[order]
+    return order, c, y[order] % MEMBERS, np.searchsorted(c, np.arange(CLASSES + 1))
+
+
+def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """ln P(y) for each state of h: the class, then the member of the class."""
+    order, c, m, ends = _sorted_by_class(y)
+    h = h.take(order, axis=0)
     scores = h @ p["cls"]
     scores += p["cls_b"]
-    ends = np.searchsorted(c, np.arange(CLASSES + 1))
     got = _picked(scores, c)
-    for k in range(CLASSES):
-        a, b = ends[k], ends[k + 1]
-        if a < b:
-            scores = h[a:b] @ p["mem"][k]
-            scores += p["mem_b"][k]
-            got[a:b] += _picked(scores, m[a:b])
+    got += _picked(_by_class(h, ends, p), m)
     out = np.empty_like(got)
     out[order] = got
     return out
@@ -125,34 +136,39 @@ def score(p: Params, tokens: np.ndarray, lengths: np.ndarray, batch: int = 512)
     return out
 
 
+def _loss(x: np.ndarray, at: np.ndarray, n: np.float32) -> tuple[float, np.ndarray]:
+    """Sum of -ln softmax(x) at one column of each row, and the gradient of that sum over n; x is used up."""
+    rows = np.arange(len(x))
+    x -= x.max(1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x @ np.ones((x.shape[1], 1), x.dtype)
+    x /= total * n
+    x[rows, at] -= 1 / n
+    return float(np.log(total).sum() - own.sum()), x
+
+
 def gradients(p: Params, x_ids: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, Params]:
     """Mean loss over the used targets and its gradients. x_ids, y, use: (batch, WINDOW)."""
     h2, (x, q, k, v, a, u, h, r) = _block(p, x_ids)
     g = {n: np.zeros_like(w) for n, w in p.items() if n in ("embed", "mem", "mem_b")}
-    flat = use.ravel()
-    s, t = h2.reshape(-1, WIDTH)[flat], y.ravel()[flat]
-    n, (c, m) = np.float32(max(1, len(t))), np.divmod(t, MEMBERS)
-    lp = _log_softmax(s @ p["cls"] + p["cls_b"])
-    loss = -lp[np.arange(len(t)), c].sum()
-    dl = np.exp(lp)
-    dl[np.arange(len(t)), c] -= 1
-    dl /= n
+    order, c, m, ends = _sorted_by_class(y[use])
+    at = np.flatnonzero(use)[order]
+    s = h2.reshape(-1, WIDTH).take(at, axis=0)
+    n = np.float32(max(1, len(at)))
+    scores = s @ p["cls"]
+    scores += p["cls_b"]
+    loss, dl = _loss(scores, c, n)
     g["cls"], g["cls_b"] = s.T @ dl, dl.sum(0)
     ds = dl @ p["cls"].T
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for j in range(CLASSES):
-        at = order[ends[j] : ends[j + 1]]
-        if at.size:
-            lp = _log_softmax(s[at] @ p["mem"][j] + p["mem_b"][j])
-            loss -= lp[np.arange(at.size), m[at]].sum()
-            dl = np.exp(lp)
-            dl[np.arange(at.size), m[at]] -= 1
-            dl /= n
-            g["mem"][j], g["mem_b"][j] = s[at].T @ dl, dl.sum(0)
-            ds[at] += dl @ p["mem"][j].T
-    dh2 = np.zeros((flat.size, WIDTH), np.float32)
-    dh2[flat] = ds
+    loss2, dl = _loss(_by_class(s, ends, p), m, n)
+    for j in np.flatnonzero(np.diff(ends)):
+        part = slice(ends[j], ends[j + 1])
+        np.matmul(s[part].T, dl[part], out=g["mem"][j])
+        ds[part] += dl[part] @ p["mem"][j].T
+        g["mem_b"][j] = dl[part].sum(0)
+    dh2 = np.zeros((use.size, WIDTH), np.float32)
+    dh2[at] = ds
     dh2 = dh2.reshape(h2.shape)
     two = lambda w: w.reshape(-1, w.shape[-1])
     g["down"] = two(r).T @ two(dh2)
@@ -168,7 +184,7 @@ def gradients(p: Params, x_ids: np.ndarray, y: np.ndarray, use: np.ndarray) -> t
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     g["place"] = dx.sum(0)
     np.add.at(g["embed"], x_ids.ravel(), two(dx))
-    return float(loss / n), g
+    return (loss + loss2) / float(n), g
 
 
 def train(p: Params, tokens: np.ndarray, lengths: np.ndarray, rate: float = 0.01, batch: int = 32, epochs: int = 1, seed: int = 3) -> tuple[Params, list[float]]:
@@ -197,8 +213,16 @@ def train(p: Params, tokens: np.ndarray, lengths: np.ndarray, rate: float = 0.01
             now = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
             for n, d in g.items():
                 one[n] += (d - one[n]) * 0.1
-                two[n] += (d * d - two[n]) * 0.01
-                p[n] -= (now * (one[n] / (1 - 0.9**t)) / (np.sqrt(two[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                d *= d
+                d -= two[n]
+                d *= 0.01
+                two[n] += d
+                np.multiply(two[n], 1 / (1 - 0.99**t), out=d)
+                np.sqrt(d, out=d)
+                d += 1e-8
+                np.divide(one[n], d, out=d)
+                d *= now / (1 - 0.9**t)
+                p[n] -= d
     return p, losses
 
 
