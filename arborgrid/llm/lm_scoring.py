@@ -21,9 +21,10 @@ FOLDS, HELD_OUT = 5, 1
 HOT = 1 << 17
 #: Of the training documents one in SHARE, by hash, fits the model in each round: a share, so it grows with the corpus.
 SHARE, ROUNDS = 32, 2
-#: What each known word's count gives up to words as the attention model spells them (absolute discounting):
-#: P(w) = max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * P_attention(w).
-DISCOUNT = 0.5
+#: MIX of a word's probability comes from the attention model, which sees the context; the rest
+#: from discounted counts, which give up DISCOUNT of each known word's count to words as the attention model spells them:
+#: P(w) = (1 - MIX) * (max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * A(w)) + MIX * A(w).
+DISCOUNT, MIX = 0.5, 0.6
 #: Words that a Python worker scores at once, and distinct words that it keeps the subwords of.
 CHUNK, LEXICON = 120_000, 250_000
 
@@ -209,7 +210,7 @@ def _score(path: str, sent):
         g = sent.value
         p, n, v, end_count = M.unpacked_params(g["params"]), g["n"], g["v"], g["ends"]
         below = n + 0.5 * (v + 1)
-        escape = np.log(min(1.0, DISCOUNT * v / n)) if n else 0.0
+        escape = np.log((1 - MIX) * min(1.0, DISCOUNT * v / n) + MIX) if n else 0.0
         lexicon = _Lexicon(M.encoder(path), {int(h): k for k, h in enumerate(g["words"])}, g["counts"], below, n)
         row = partition_id() << 40
         pending: list[tuple] = []
@@ -239,7 +240,7 @@ def _score(path: str, sent):
             frequent = c > 0
             rare = c < 0
             lm += escape
-            own = np.log(np.maximum(c - DISCOUNT, 1e-300) / max(1, n))
+            own = np.log(np.maximum(c - DISCOUNT, 1e-300) * (1 - MIX) / max(1, n))
             model = np.add.reduceat(np.where(rare, 0.0, np.logaddexp(own, lm)), starts) / np.log(10)
             base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / below), 0.0), starts)
             known = np.add.reduceat(frequent.astype(np.int64), starts)
@@ -269,7 +270,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     Word counts cover all training documents. The attention model gives each word the product of its subwords'
-    probabilities, and words that training knows their discounted frequency besides (DISCOUNT). score sums log10 over words
+    probabilities, mixed with discounted frequencies of the words that training knows (DISCOUNT, MIX). score sums log10 over words
     and the end. Null, empty and blank texts have the end token only. Repeated rows repeat. Without training documents every count
     is 0 and the model is the untrained one.
     """
@@ -298,7 +299,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.spelled").cast("double").alias("spelled"))
     c = F.coalesce("c", F.lit(0))
     spelled = F.col("spelled") / float(np.log(10))  # never through exp where it stands alone: a very long word's is 0
-    whole = F.when(c > 0, F.log10((c - DISCOUNT) / max(1, given["n"]) + F.exp("spelled"))).otherwise(spelled)
+    whole = F.when(c > 0, F.log10((c - DISCOUNT) * ((1 - MIX) / max(1, given["n"])) + F.exp("spelled"))).otherwise(spelled)
     sums = [F.sum(F.log10((c + 0.5) / below)).alias("rest"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(whole).alias("rest_score")]
     rest = rare.join(cold, "word", "left").groupBy("row").agg(*sums)
     out = scored.join(rest, "row", "left")
