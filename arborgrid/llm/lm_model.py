@@ -65,9 +65,9 @@ def _block(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     return out.reshape(x.shape), (x, q, k, v, s, u, h.reshape(x.shape), r.reshape(*x.shape[:2], HIDDEN))
 
 
-def _by_class(h: np.ndarray, ends: np.ndarray, p: Params) -> np.ndarray:
+def _by_class(h: np.ndarray, ends: np.ndarray, p: Params, out: np.ndarray | None = None) -> np.ndarray:
     """Members' scores for states sorted by class, ends[k] being where class k starts: one product a class."""
-    out = np.empty((len(h), MEMBERS), h.dtype)
+    out = np.empty((len(h), MEMBERS), h.dtype) if out is None else out
     for k in np.flatnonzero(np.diff(ends)):
         part = out[ends[k] : ends[k + 1]]
         np.matmul(h[ends[k] : ends[k + 1]], p["mem"][k], out=part)
@@ -75,14 +75,6 @@ def _by_class(h: np.ndarray, ends: np.ndarray, p: Params) -> np.ndarray:
     return out
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """ln softmax(x) at one column of each row; x is used up."""
-    np.clip(x, -60, 60, out=x)
-    out = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return out - np.log(x @ np.ones(x.shape[1], x.dtype))
-
-
 def _sorted_by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """An order of targets by class; their classes and members in that order; each class's start."""
     c = (y // MEMBERS).astype(np.uint8)
@@ -91,17 +83,60 @@ def _sorted_by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return order, c, y[order] % MEMBERS, np.searchsorted(c, np.arange(CLASSES + 1))
 
 
-def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """ln P(y) for each state of h: the class, then the member of the class."""
-    order, c, m, ends = _sorted_by_class(y)
-    h = h.take(order, axis=0)
-    scores = h @ p["cls"]
-    scores += p["cls_b"]
-    got = _picked(scores, c)
-    got += _picked(_by_class(h, ends, p), m)
-    out = np.empty_like(got)
-    out[order] = got
-    return out
+class Forward:
+    """ln P of targets, batch after batch, in arrays that are made once: fresh ones of this size cost more than the sums do."""
+
+    def __init__(self, p: Params, batch: int):
+        n, kind = batch * WINDOW, p["embed"].dtype
+        empty = lambda *shape: np.empty(shape, kind)
+        self.p, self.qkv = p, [np.ascontiguousarray(w) for w in (p["q"] * kind.type(WIDTH**-0.5), p["k"], p["v"])]
+        self.rows, self.attn = [empty(n, WIDTH) for _ in range(7)], empty(batch, WINDOW, WINDOW)
+        self.hidden, self.cls, self.mem = empty(n, HIDDEN), empty(n, CLASSES), empty(n, MEMBERS)
+        self.total, self.ones, self.lines = empty(n, 1), np.ones((max(WINDOW, CLASSES, MEMBERS), 1), kind), np.arange(n)
+
+    def _picked(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """ln softmax(x) at one column of each row; x is used up."""
+        np.clip(x, -60, 60, out=x)
+        out = x[self.lines[: len(x)], at]
+        np.exp(x, out=x)
+        total = np.matmul(x, self.ones[: x.shape[1]], out=self.total[: len(x)])[:, 0]
+        return np.subtract(out, np.log(total, out=total), out=out)
+
+    def __call__(self, x_ids: np.ndarray, use: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """x_ids: (windows, WINDOW). use: places in it, counted through all windows, whose next tokens are y."""
+        p, b, n = self.p, len(x_ids), x_ids.size
+        x, q, k, v, u = (w[:n] for w in self.rows[:5])
+        three = lambda w: w.reshape(b, WINDOW, WIDTH)
+        p["embed"].take(x_ids.ravel(), axis=0, out=x, mode="clip")
+        x3 = three(x)
+        x3 += p["place"]
+        for w, out in zip(self.qkv, (q, k, v), strict=True):
+            np.matmul(x, w, out=out)
+        s = np.matmul(three(q), three(k).transpose(0, 2, 1), out=self.attn[:b])
+        np.clip(s, -60, 60, out=s)  # so that exp needs no maximum; far beyond what trained weights give
+        np.exp(s, out=s)
+        s *= _MASK
+        total = np.matmul(s.reshape(n, WINDOW), self.ones[:WINDOW], out=self.total[:n])
+        np.matmul(s, three(v), out=three(u))
+        u /= total
+        # from here on only the used places, sorted by their target's class
+        order, c, m, ends = _sorted_by_class(y)
+        at, n = use[order], len(order)
+        h, skip, seen = self.rows[5][:n], self.rows[6][:n], self.rows[1][:n]
+        np.matmul(u.take(at, axis=0, out=seen, mode="clip"), p["o"], out=h)
+        h += x.take(at, axis=0, out=skip, mode="clip")
+        r = np.matmul(h, p["up"], out=self.hidden[:n])
+        r += p["up_b"]
+        np.maximum(r, 0, out=r)
+        np.matmul(r, p["down"], out=skip)
+        h += skip
+        scores = np.matmul(h, p["cls"], out=self.cls[:n])
+        scores += p["cls_b"]
+        got = self._picked(scores, c)
+        got += self._picked(_by_class(h, ends, p, self.mem[:n]), m)
+        out = np.empty_like(got)
+        out[order] = got
+        return out
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +150,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, ends[text], np.where(k == 0, 0, OVERLAP)
 
 
-def score(p: Params, tokens: np.ndarray, lengths: np.ndarray, batch: int = 512) -> np.ndarray:
+def score(p: Params, tokens: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
     """ln P of each token given those before it in its text, within the window. Each token is scored in one window only:
     the first OVERLAP tokens of every window but a text's first are context."""
     out = np.zeros(len(tokens), np.float32)
@@ -125,14 +160,14 @@ def score(p: Params, tokens: np.ndarray, lengths: np.ndarray, batch: int = 512)
     before[1:] = tokens[:-1]
     before[(np.cumsum(lengths) - lengths)[lengths > 0]] = BEGIN
     start, end, skip = windows(lengths)
-    at = np.arange(WINDOW)
+    at, forward = np.arange(WINDOW), Forward(p, min(batch, len(start)))
     for k in range(0, len(start), batch):
         spots = start[k : k + batch, None] + at
-        inside = spots < end[k : k + batch, None]
-        h, _ = _block(p, before[np.where(inside, spots, start[k : k + batch, None])])
-        use = inside & (at >= skip[k : k + batch, None])
-        where = spots[use]
-        out[where] = log_probs(p, h[use], tokens[where])
+        last = end[k : k + batch, None]
+        use = np.flatnonzero((spots < last) & (at >= skip[k : k + batch, None]))
+        np.minimum(spots, last - 1, out=spots)  # places past a text's end are never used, nor seen by those before
+        where = spots.ravel()[use]
+        out[where] = forward(before[spots], use, tokens[where])
     return out
 
 
