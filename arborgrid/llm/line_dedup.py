@@ -1,7 +1,8 @@
-"""Removal of runs of lines that an earlier place of the corpus holds, found by winnowing line hashes."""
+"""Removal of runs of lines that an earlier place of the corpus holds, found by hashes of windows of lines."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partition_id, table
 
-#: A repeated run is deleted from this many words on; windows are as few lines as hold so many, so none escapes.
+#: A repeated run is deleted from this many words on; windows are as few lines as hold so many.
 MIN_WORDS = 30
 _ID = 40  # bits of a row's number within its partition
 
@@ -29,65 +30,50 @@ def profile(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.array([len(w) for _, w in lines], np.int64), np.array([at for at, _ in lines], np.int64)
 
 
-def winnow(h: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
-    """Places of fingerprints: the rightmost smallest hash of every window.
+def windows(words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest run of lines from each place on, and up to each place, with `least` words or more.
 
-    A window is the shortest run of lines from a place on with `least` words or more. A run of so many words holds a
-    whole window, so two places of it select the same line of it.
+    Any line of a run of so many words lies in one of these that the run holds whole: in the one that starts at the line,
+    or, if less than `least` words follow in the run, in the one that ends at the run's end.
     """
     sums = np.r_[0, np.cumsum(words)]
-    ends = np.searchsorted(sums, sums[:-1] + least)  # the window of k is [k, ends[k])
-    out = {int(e - 1 - np.argmin(h[k:e][::-1])) for k, e in enumerate(ends) if e <= len(h)}
-    return np.array(sorted(out), np.int32)
+    ends = np.searchsorted(sums, sums[:-1] + least)  # the window from k on is [k, ends[k])
+    starts = np.searchsorted(sums, sums[1:] - least, "right") - 1  # the window up to k is [starts[k], k + 1)
+    on, up = np.flatnonzero(ends <= len(words)), np.flatnonzero(starts >= 0)
+    both = np.unique(np.r_[np.stack([on, ends[on]], 1), np.stack([starts[up], up + 1], 1)], axis=0)
+    return both[:, 0], both[:, 1]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        places, keys, sizes = [np.zeros((2, 0), np.int32)], array("Q"), np.zeros(batch.num_rows, np.int32)
+        for k, text in enumerate(batch.column(1)):
             h, words, _ = profile(text.as_py())
-            spots = winnow(h, words) if h.size else np.zeros(0, np.int32)
-            rows.append(((partition_id() << _ID) + n, doc, h, spots, h[spots]))
-            n += 1
-        c = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), longs, pa.list_(pa.int32()), longs]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["row", "doc_id", "lines", "spots", "prints"])
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, lines, spot, row1, lines1, spot1): the run around each match, both ways, as [start, end) of `row`."""
-    for batch in batches:
-        out = []
-        for row, a, at, row1, b, at1 in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
-            if a[at] != b[at1]:  # another line with this hash's place: cannot be
-                continue
-            low, high = 0, 1
-            same = row == row1
-            # in one document the earlier place must not reach into the later one
-            while at - low - 1 >= 0 and at1 - low - 1 >= 0 and a[at - low - 1] == b[at1 - low - 1] and not (same and at - low - 1 <= at1):
-                low += 1
-            while at + high < len(a) and at1 + high < len(b) and a[at + high] == b[at1 + high] and not (same and at1 + high >= at - low):
-                high += 1
-            out.append((row, at - low, at + high))
-        c = list(zip(*out, strict=True)) if out else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())], names=["row", "start", "end"])
+            found = np.stack(windows(words)).astype(np.int32)
+            places.append(found)
+            keys.extend(xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in found.T.tolist())
+            sizes[k] = found.shape[1]
+        starts, ends = np.concatenate(places, axis=1)
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, ends, np.array(keys, np.uint64).view(np.int64))]
+        rows = (partition_id() << _ID) + n + np.arange(batch.num_rows)
+        n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), *lists], names=["row", "doc_id", "starts", "ends", "keys"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, removed, words_removed = [], [], []
-        for text, runs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = text.as_py()
+        for text, runs in zip(batch.column(1), batch.column(2), strict=True):
+            text, runs = text.as_py(), runs.values
             gone = 0
             words_gone = 0
             if runs and text is not None:
                 _, words, places = profile(text)
                 drop = np.zeros(len(words), bool)
-                for r in runs:
-                    if words[r["start"] : r["end"]].sum() >= MIN_WORDS:
-                        drop[r["start"] : r["end"]] = True
+                for start, end in zip(runs.field("start").to_pylist(), runs.field("end").to_pylist(), strict=True):
+                    drop[start:end] = True
                 out = set(places[drop].tolist())
                 gone, words_gone = len(out), int(words[drop].sum())
                 if out:
@@ -106,22 +92,19 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0), batch.column(1)], names=["row", "doc_id", "text"])
 
 
-def repeated_runs(prints: DataFrame) -> DataFrame:
-    """row, start, end of every run that an earlier place holds. prints: as _fingerprints gives them.
+def repeated_runs(found: DataFrame) -> DataFrame:
+    """row, start, end of every window that an earlier place holds. found: as _windows gives them.
 
-    Each fingerprint's places meet its first place (smallest document, then place): as many pairs as places, whatever
-    the group's size. The first place is found by an aggregation that combines before the shuffle.
+    Each window's places meet its first place (smallest document, then place): as many pairs as places, whatever the
+    group's size. One partner is enough, since equal windows are equal throughout; what a longer run shares only with a
+    later place is in other windows, which have first places of their own. The first place is found by an aggregation that
+    combines before the shuffle. In one document the first place must not reach into the later one.
     """
-    spots = prints.select("row", "doc_id", F.explode(F.arrays_zip("spots", "prints")).alias("p")).select("row", "doc_id", F.col("p.spots").alias("spot"), F.col("p.prints").alias("print"))
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "spot")
-    first = spots.groupBy("print").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("print", F.col("first.row").alias("row1"), F.col("first.spot").alias("spot1"))
-    pairs = spots.join(first, "print").where("row <> row1 or spot <> spot1").select("row", "spot", "row1", "spot1")
-    pairs = materialise(pairs, "lines-pairs")
-    later = prints.select("row", "lines").join(pairs.select("row").distinct(), "row", "left_semi")
-    early = prints.select(F.col("row").alias("row1"), F.col("lines").alias("lines1"))
-    early = materialise(early.join(pairs.select("row1").distinct(), "row1", "left_semi"), "lines-first")
-    both = pairs.join(early, "row1").join(later, "row").select("row", "lines", "spot", "row1", "lines1", "spot1")
-    return both.mapInArrow(_extend, "row long, start int, end int").distinct()
+    spots = found.select("row", "doc_id", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("p")).select("row", "doc_id", F.col("p.keys").alias("key"), F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "start")
+    first = spots.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.row").alias("row1"), F.col("first.start").alias("start1"))
+    pairs = spots.join(first, "key").where("row <> row1 or start - start1 >= end - start").select("row", "start", "end")
+    return materialise(pairs, "lines-pairs")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stable: bool = False) -> DataFrame:
@@ -134,8 +117,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sta
     """
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     d = d if stable else materialise(d, "lines-input")
-    prints = materialise(d.mapInArrow(_fingerprints, "row long, doc_id long, lines array<long>, spots array<int>, prints array<long>"), "lines-prints")
-    runs = repeated_runs(prints).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    found = materialise(d.mapInArrow(_windows, "row long, doc_id long, starts array<int>, ends array<int>, keys array<long>"), "lines-windows")
+    runs = repeated_runs(found).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     full = d.mapInArrow(_numbered, "row long, doc_id long, text string").join(runs, "row", "left")
     return full.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, text string, lines_removed long, words_removed long")
 

@@ -174,6 +174,29 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(docs).count() == len(rows()) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_every_run(spark):
+    """Runs with frequent short lines inside, or shared in parts with several documents, against all runs of all pairs."""
+    r = np.random.default_rng(12)
+    pool = [prose(int(n), 900 + k) for k, n in enumerate((3, 3, 5, 8, 12, 29, 31))]
+    a, b, c = prose(13, 950), prose(29, 951), prose(33, 952)
+    texts = ["\n".join(r.choice(pool, r.integers(1, 12))) for _ in range(40)]
+    texts += [f"x\n{pool[0]}\ny", f"{a}\n{pool[0]}\n{b}", f"new\n{a}\n{pool[0]}\n{b}\nnew", c, f"{c}\n{pool[2]} z", f"{c}\n{pool[2]} z\nnew"]
+    lines = [[x.split() for x in t.split("\n")] for t in texts]
+    want = []
+    for k, mine in enumerate(lines):
+        gone = set()
+        for other in range(k + 1):
+            for i, j in itertools.product(range(len(mine)), range(len(lines[other]))):
+                n = 0
+                while i + n < len(mine) and j + n < len(lines[other]) and mine[i + n] == lines[other][j + n] and (other < k or j + n < i):
+                    n += 1
+                    if sum(map(len, mine[i : i + n])) >= 30:
+                        gone |= set(range(i, i + n))
+        want.append((k, "\n".join(x for at, x in enumerate(texts[k].split("\n")) if at not in gone), len(gone)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["text"], x["lines_removed"]) for x in got) == want
+
+
 def test_trie_counts_equal_a_plain_search():
     v = token_counts.Vocabulary([token_counts.MARK, "a", "b", "ab", "abc", "c", token_counts.MARK + "a", "bca"])
 
