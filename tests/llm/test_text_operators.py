@@ -251,6 +251,17 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_windows_overlap():
+    p = lm_model.initial(np.ones(lm_model.VOCABULARY))
+    tokens, lengths = np.random.default_rng(4).integers(0, lm_model.END, 60), np.array([60])
+    whole = lm_model.score(p, tokens, lengths)
+    assert 4 * lm_model.OVERLAP >= lm_model.WINDOW
+    for at in range(5, 60):  # every token is scored with five before it in sight
+        other = tokens.copy()
+        other[at - 5] = (other[at - 5] + 1) % lm_model.END
+        assert lm_model.score(p, other, lengths)[at] != whole[at]
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 800 + "</p>"
     pages = [(1, "http://www.a.example.com/x?y#z", big), (2, None, big), (3, "https://b.example/", "small"), (4, "https://b.example/", "small"), (5, "not a url\r\n", None), (None, "http://a.example.com/n", big)]
