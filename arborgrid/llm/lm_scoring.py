@@ -19,8 +19,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FOLDS, HELD_OUT = 5, 1
 #: The most frequent words, whose counts go to every executor: at most so many. All others meet their counts in a join.
 HOT = 1 << 17
-#: Of the training documents one in SHARE, by hash, fits the model in each round: a share, so it grows with the corpus.
-SHARE, ROUNDS = 32, 2
+#: Each round fits the model on another share of the training documents, by hash; together the rounds visit them all.
+#: A task of a round trains on about TASK_TOKENS subwords, however the input is split.
+ROUNDS, TASK_TOKENS = 4, 2_000_000
 #: MIX of a word's probability comes from the attention model, which sees the context; the rest
 #: from discounted counts, which give up DISCOUNT of each known word's count to words as the attention model spells them:
 #: P(w) = (1 - MIX) * (max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * A(w)) + MIX * A(w).
@@ -149,19 +150,21 @@ def _fitted(path: str, sent, seed: int):
     return run
 
 
-def fit(train: DataFrame, tokenizer: str = TOKENIZER, share: int = SHARE, rounds: int = ROUNDS) -> M.Params:
+def fit(train: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> M.Params:
     """The model's weights from texts (columns text, spread: a hash).
 
-    Each round takes another share of the documents. Every task trains on its own part from the same weights; the mean of
-    theirs, by tokens, starts the next round. A task holds 2000 texts at a time.
+    The first frequencies are those of all documents. Each round takes another share of the documents, and each document is
+    in one. A round's documents are dealt out by hash to tasks of about task_tokens subwords. Every task trains on its own
+    part from the same weights; the mean of theirs, by tokens, starts the next round. A task holds 2000 texts at a time.
     """
     spark = train.sparkSession
-    part = lambda k: train.where(F.pmod("spread", F.lit(share)) == k % share).select("text")
-    _, counts = _total(part(0).mapInArrow(_subword_counts(tokenizer), _BLOB), "<i8")
+    size, counts = _total(train.select("text").mapInArrow(_subword_counts(tokenizer), _BLOB), "<i8")
     p = M.initial(counts if counts is not None else np.ones(M.VOCABULARY))
+    tasks = max(1, round(size / rounds / task_tokens))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(M.packed_params(p))
-        seen, total = _total(part(k).mapInArrow(_fitted(tokenizer, sent, k), _BLOB), "<f8")
+        part = train.where(F.pmod("spread", F.lit(rounds)) == k).repartition(tasks, "spread").select("text")
+        seen, total = _total(part.mapInArrow(_fitted(tokenizer, sent, k), _BLOB), "<f8")
         if seen:
             p = M.unpacked_params((total / seen).astype("<f4").tobytes())
     return p

@@ -262,6 +262,26 @@ def test_windows_overlap():
         assert lm_model.score(p, other, lengths)[at] != whole[at]
 
 
+def test_lm_fit_visits_every_document(spark, monkeypatch):
+    texts = [f"w{k} " * 30 for k in range(200)]
+    train = spark.createDataFrame([(t, k * 7919 + 3) for k, t in enumerate(texts)], "text string, spread long").repartition(40)
+    seen, tasks = [], []
+    total = lm_scoring._total
+
+    def watched(blobs, kind):
+        if kind == "<f8":
+            tasks.append(blobs.count())
+            seen.append(blobs.agg({"weight": "sum"}).first()[0])
+        else:
+            seen.append(total(blobs, kind)[0])
+        return total(blobs, kind)
+
+    monkeypatch.setattr(lm_scoring, "_total", watched)
+    lm_scoring.fit(train)
+    subwords = lm_scoring._Subwords(lm_scoring.TOKENIZER)(spark.createDataFrame([(t,) for t in texts], "text string").toArrow().column(0))[0]
+    assert seen[0] == len(subwords) == sum(seen[1:]) and set(tasks) == {1}  # all counted, all trained on, in whole tasks
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 800 + "</p>"
     pages = [(1, "http://www.a.example.com/x?y#z", big), (2, None, big), (3, "https://b.example/", "small"), (4, "https://b.example/", "small"), (5, "not a url\r\n", None), (None, "http://a.example.com/n", big)]
