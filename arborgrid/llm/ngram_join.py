@@ -15,7 +15,7 @@ from .common import materialise, packed, table, unpacked
 from .graph import components
 
 WIDTH = 4
-#: Link when 100 * intersection >= PERCENT * union.
+#: Link when 100 * intersection >= PERCENT * union. These two are op5's; callers can give others.
 PERCENT = 85
 #: Columns of the incidence matrix are counted in so many cells, to order n-grams from rare to frequent.
 COUNT_CELLS = 1 << 18
@@ -72,11 +72,11 @@ def _fold(rows: np.ndarray, words: int) -> np.ndarray:
     return rows
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_cells(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, held, size = np.zeros(COUNT_CELLS, np.int64), [], 0
     for batch in batches:
         for text in batch.column(0):
-            held.append((shingles(text.as_py()) & np.uint64(COUNT_CELLS - 1)).astype(np.int32))
+            held.append((shingles(text.as_py(), width) & np.uint64(COUNT_CELLS - 1)).astype(np.int32))
             size += held[-1].size
             if size > 500_000:
                 counts += np.bincount(np.concatenate(held), minlength=COUNT_CELLS)
@@ -100,13 +100,13 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def gram_ranks(docs: DataFrame, text: str) -> np.ndarray:
+def gram_ranks(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
     """How often n-grams of each hash cell occur over all documents: COUNT_CELLS numbers, a fixed size at any input.
 
     Every document counts. The order (cell count, hash) serves as the global order of n-grams: any order gives the same
     links; rare ones first keeps the n-grams that many documents share out of the prefixes.
     """
-    parts = docs.select(docs[text].alias("text")).mapInArrow(_count_cells, "part int, counts binary")
+    parts = docs.select(docs[text].alias("text")).mapInArrow(partial(_count_cells, width), "part int, counts binary")
     rows = parts.repartition(64, "part").mapInArrow(_sum_cells, "part int, counts binary").collect()  # 64 rows, 2 MB
     counts = np.zeros(COUNT_CELLS, np.int64)
     for r in rows:
@@ -115,16 +115,16 @@ def gram_ranks(docs: DataFrame, text: str) -> np.ndarray:
     return np.minimum(counts, 2**31 - 1).astype(np.int32)
 
 
-def _profile(ranks):
+def _profile(ranks, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = ranks.value
         for batch in batches:
             rows: list = []
             for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                g = shingles(text.as_py())
+                g = shingles(text.as_py(), width)
                 n = g.size
                 if n:
-                    keep = n - -(-PERCENT * n // 100) + 1
+                    keep = n - -(-percent * n // 100) + 1
                     first = np.lexsort((g, order[(g & np.uint64(COUNT_CELLS - 1)).astype(np.int64)]))[:keep]
                     node = xxhash.xxh3_64_intdigest(g.tobytes(), n) >> 1  # the set's identity: equal sets share it
                     rows.append((doc, n, h, node, g[first].view(np.int64)))
@@ -137,13 +137,13 @@ def _profile(ranks):
     return run
 
 
-def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
+def _may_link(percent: int, n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
     """Whether sets of n and m members whose first common n-gram stands at places at and bt can link: what follows it in
     either order bounds the intersection, and the sizes bound what is needed."""
-    return (100 + PERCENT) * np.minimum(n - at, m - bt) >= PERCENT * (n + m)
+    return (100 + percent) * np.minimum(n - at, m - bt) >= percent * (n + m)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, node, size and place of the n-gram) sorted by gram and node: each n-gram's documents that can link by
     size and place, in blocks of BLOCK and pairs of blocks."""
 
@@ -153,7 +153,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(parts)):
             for j in range(i + 1, len(parts)) if len(parts) > 1 else [i]:
                 x = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
-                ok = _may_link(n[x, None], at[x, None], n[x], at[x])
+                ok = _may_link(percent, n[x, None], at[x, None], n[x], at[x])
                 np.fill_diagonal(ok, False)
                 if (keep := ok.any(1)).any():
                     yield nodes[x[keep]]
@@ -172,7 +172,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(np.r_[starts, len(g)])
         two = starts[lengths == 2]
         n, at = facts >> 32, facts & 0xFFFFFFFF
-        two = two[_may_link(n[two], at[two], n[two + 1], at[two + 1])]
+        two = two[_may_link(percent, n[two], at[two], n[two + 1], at[two + 1])]
         groups.extend(np.stack([nodes[two], nodes[two + 1]], 1))
         held += 2 * len(two)
         for s, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
@@ -197,7 +197,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(groups)
 
 
-def _product(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _product(first: bool, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, node, n, component, bits) sorted by block: edges that join components, where the bits allow a link.
 
     The bits of one set that another lacks are members that the other lacks; so |a & b| <= |a| - them. On the first pass a
@@ -216,8 +216,8 @@ def _product(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             return a, b
         stacks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i in range(len(node)):
-            # partners come later in the order of size, and are at most 100 / 85 times as large
-            js = np.flatnonzero((own != own[i]) & (np.arange(len(node)) > i) & (100 * size[i] >= PERCENT * size))
+            # partners come later in the order of size, and are at most 100 / percent times as large
+            js = np.flatnonzero((own != own[i]) & (np.arange(len(node)) > i) & (100 * size[i] >= percent * size))
             for w in np.unique(width[js]):
                 j = js[width[js] == w]
                 if w not in stacks:
@@ -230,13 +230,13 @@ def _product(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 m, x = _fold(m, low), _fold(x, low)
                 less, more = np.bitwise_count(x & ~m).sum(1, dtype=np.int64), np.bitwise_count(m & ~x).sum(1, dtype=np.int64)
                 most = np.minimum(size[i] - less, size[j] - more)
-                may = 100 * most >= PERCENT * (size[i] + size[j] - most)
+                may = 100 * most >= percent * (size[i] + size[j] - most)
                 if not may.any():
                     continue
                 # members that bits hide are those that fall on a set bit: so many, likely, as its share of set bits says
                 free_m, free_x = (1 - np.bitwise_count(y).mean(1) / 64 for y in (m, x))
                 likely = (size[i] - less / np.maximum(free_m, 0.05) + size[j] - more / np.maximum(free_x, 0.05)) / 2
-                likely = 100 * likely >= PERCENT * (size[i] + size[j] - likely)
+                likely = 100 * likely >= percent * (size[i] + size[j] - likely)
                 for k, sure in zip(j[may], likely[may], strict=True):
                     if own[k] != own[i]:
                         a.append(node[i])
@@ -266,7 +266,7 @@ def _product(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _sets(sent, made):
+def _sets(sent, made, width: int):
     """Rows (h, text): made(set) of texts whose hash h may be wanted, by a bit table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +276,12 @@ def _sets(sent, made):
             at = (h & (len(table) * 8 - 1)).astype(np.int64)
             rows = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[rows], pa.int64()), pa.array([made(shingles(texts[int(r)].as_py())).tobytes() for r in rows], pa.binary())], names=["h", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows], pa.int64()), pa.array([made(shingles(texts[int(r)].as_py(), width)).tobytes() for r in rows], pa.binary())], names=["h", "grams"])
 
     return run
 
 
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlap(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (edge, a, b, grams) sorted by edge, two for each edge: the exact test."""
     last = None
     for batch in batches:
@@ -292,14 +292,14 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = np.intersect1d(p, q, assume_unique=True).size
                 a.append(x)
                 b.append(y)
-                linked.append(100 * both >= PERCENT * (p.size + q.size - both))
+                linked.append(100 * both >= percent * (p.size + q.size - both))
                 last = None
             else:
                 last = (edge, grams)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _wanted_sets(texts: DataFrame, wanted: DataFrame, made) -> DataFrame:
+def _wanted_sets(texts: DataFrame, wanted: DataFrame, made, width: int) -> DataFrame:
     """node, made: made(set) of the wanted nodes (node, h), from their texts (h, text). Texts do not move: a bit table of
     the wanted hashes picks them where they are read, and only what is made of them is shuffled."""
     spark = texts.sparkSession
@@ -308,7 +308,7 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, made) -> DataFrame:
     table = np.zeros(SET_BITS // 8, np.uint8)
     for r in blobs.collect():  # SET_BITS / 32768 rows of 4 KB
         table[r["p"] * 4096 : (r["p"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    found = texts.mapInArrow(_sets(spark.sparkContext.broadcast(table), made), "h long, made binary")
+    found = texts.mapInArrow(_sets(spark.sparkContext.broadcast(table), made, width), "h long, made binary")
     return found.join(wanted, "h").groupBy("node").agg(F.max("made").alias("made"))
 
 
@@ -316,19 +316,21 @@ def _itself(grams: np.ndarray) -> np.ndarray:
     return grams
 
 
-def _tested(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def _tested(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs (a, b of nodes) with `linked`, from the whole sets. texts: h, text. reps: node, h."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(wanted.join(reps, "node").select("node", "h"), "join-wanted")
-    sets = materialise(_wanted_sets(texts, wanted, _itself), "join-sets")
+    sets = materialise(_wanted_sets(texts, wanted, _itself, width), "join-sets")
     edge = pairs.select(F.xxhash64("a", "b").alias("edge"), "a", "b", F.explode(F.array("a", "b")).alias("node"))
     both = edge.join(sets, "node").select("edge", "a", "b", F.col("made").alias("grams"))
-    return both.repartition("edge").sortWithinPartitions("edge", "a", "b").mapInArrow(_overlap, "a long, b long, linked boolean")
+    return both.repartition("edge").sortWithinPartitions("edge", "a", "b").mapInArrow(partial(_overlap, percent), "a long, b long, linked boolean")
 
 
-def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
+    Documents link when 100 * intersection >= percent * union of their n-grams of width words (8 at most).
+
     1. Count n-grams by cell (gram_ranks). 2. Of each document's set its rarest n-grams: a prefix, its length from
     the set's size, that a linked document must share one of. Documents with equal sets become one node. 3. Nodes that share a prefix
     n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. The product of each block's bit rows gives about a spanning forest of the pairs
@@ -340,19 +342,19 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    ranks = spark.sparkContext.broadcast(gram_ranks(d, "text"))
-    profile = d.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_profile(ranks), "doc_id long, n long, h long, node long, prefix array<long>")
+    ranks = spark.sparkContext.broadcast(gram_ranks(d, "text", width))
+    profile = d.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_profile(ranks, width, percent), "doc_id long, n long, h long, node long, prefix array<long>")
     profile = materialise(profile, "join-profile")
     named = profile.where("node is not null")
     once = named.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
     shared = once.select("node", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("facts"))
-    runs = shared.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_runs, "block long, nodes array<long>")
+    runs = shared.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(partial(_runs, percent), "block long, nodes array<long>")
     blocks = materialise(runs.groupBy("block").agg(F.first("nodes").alias("nodes")), "join-blocks")
     members = blocks.select("block", F.explode("nodes").alias("node"))
     texts = d.select(F.xxhash64("text").alias("h"), "text")
     nodes = named.select("node", "n", "h").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.min("h").alias("h"))
     nodes = materialise(nodes, "join-nodes")
-    nodes = materialise(nodes.join(_wanted_sets(texts, nodes.select("node", "h"), bitmap), "node").withColumnRenamed("made", "bits"), "join-bits")
+    nodes = materialise(nodes.join(_wanted_sets(texts, nodes.select("node", "h"), bitmap, width), "node").withColumnRenamed("made", "bits"), "join-bits")
     comps = tested = None
     for first in (True, False):
         side = nodes.select("node", "n", F.col("node").alias("component"), "bits")
@@ -363,12 +365,12 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             several = members.join(side.select("node", "component"), "node").groupBy("block").agg((F.min("component") < F.max("component")).alias("several"))
             rows = members.join(several.where("several"), "block", "left_semi")
         rows = rows.join(side, "node").select("block", "node", "n", "component", "bits")
-        pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_product, first), "a long, b long")
+        pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_product, first, percent), "a long, b long")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialise(pairs if first else pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         if pairs.isEmpty():
             break
-        verdict = materialise(_tested(texts, nodes.select("node", "h"), pairs), "join-verdict")
+        verdict = materialise(_tested(texts, nodes.select("node", "h"), pairs, width, percent), "join-verdict")
         tested = verdict if first else tested.unionAll(verdict)
         comps = components(tested.where("linked").select("a", "b"))
     labels = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -380,13 +382,13 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without all but one of each component: the one with the smallest doc_id stays.
 
     Rows with a null doc_id, and repeated rows with the id that stays, are told apart by their order in the component:
     one row stays in all.
     """
-    labels = materialise(join_components(docs, text, doc_id), "join-result")
+    labels = materialise(join_components(docs, text, doc_id, width, percent), "join-result")
     first = labels.where("component_id = doc_id").groupBy(F.col("doc_id").alias("stay")).agg((F.count("*") > 1).alias("twice"))
     stays = materialise(first, "join-stays")
     full = docs.select(packed(docs).alias("row"), docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))

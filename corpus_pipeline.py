@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from arborgrid.llm import decontaminate, mixing, ngram_join, quality, sharding
 from arborgrid.llm.common import materialise, table
 
+#: Near duplicates: so many words of an n-gram, and so many hundredths of the n-grams in common. op5 has its own.
+WIDTH, PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, width=WIDTH, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,6 +126,31 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == brute_components(texts)
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """Links at five words and 0.8 against brute force; most pairs here are no links at four words and 0.85."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    texts = []
+    for base in range(12):
+        w = prose(100, 400 + base).split()
+        texts.append(" ".join(w))
+        for _ in range(3):
+            x = list(w)
+            for at in r.choice(100, r.integers(1, 5), replace=False):
+                x[at] = f"w{r.integers(0, 99)}"
+            texts.append(" ".join(x))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    table = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.join_components(table, width=5, percent=80).collect()}
+    assert got == {k: group.index(g) for k, g in enumerate(group)}
+    assert {x["doc_id"] for x in corpus_pipeline.ngram_jaccard(spark, table, "").collect()} == {k for k in got if got[k] == k} != {x["doc_id"] for x in ngram_join.keep_one(table).collect()}
+
+
 ITEMS = [(1, "what is the largest moon of the sixth planet in our system? It is called titan by everyone here."), (2, "unrelated words about a river bank and some boats on it. The answer is seven boats exactly now."), (3, None), (4, "")]
 
 
