@@ -22,7 +22,11 @@ STOP_WORDS = frozenset(
     nach nicht noch oder sich sie sind über um und von vor war werden wie wird zu zum zur""".split()
 )
 # Elements by their part in a page.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas select textarea button head title".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button title".split())
+#: What these hold is text, not tags: one that does not close runs to the end of the page.
+RAW = frozenset("script style textarea title".split())
+#: Elements that a head can hold; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -57,7 +61,9 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool]]:
     """A page's text blocks in order: text, characters inside links, place ("main", "side" or ""), heading.
 
     Character references are decoded; white space inside a block is one space. Tags that never close, close twice or are
-    cut off at the page's end are borne: a closing tag closes what it finds open, and nothing if it finds nothing.
+    cut off at the page's end are borne: a closing tag closes what it finds open, and nothing if it finds nothing. A head
+    ends at the first text or element that it cannot hold; a skipped element that never closes hides nothing, unless its
+    content is raw text.
     """
     out: list[tuple[str, int, str, bool]] = []
     text: list[str] = []
@@ -75,11 +81,33 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool]]:
             linked.clear()
         heading = False
 
+    open_ended: set[str] = set()  # names that no closing tag follows from here on
+
+    def closing(name: str, at: int) -> int:
+        """The place behind the next closing tag of this name; 0 if there is none."""
+        if name in open_ended:
+            return 0
+        end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+        if not end:
+            open_ended.add(name)
+        return end.end() if end else 0
+
+    def end_head() -> None:
+        nonlocal place
+        for k, (name, _) in enumerate(stack):
+            if name == "head":
+                flush()
+                del stack[k:]
+                place = stack[-1][1] if stack else ""
+                break
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
+            if not piece.isspace():
+                end_head()
             text.append(piece)
             if links:
                 linked.append(piece)
@@ -100,9 +128,10 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool]]:
                     place = stack[-1][1] if stack else ""
                     break
             continue
-        if name in SKIPPED and name != "head" and not m.group(3).rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else size
+        if name not in IN_HEAD:
+            end_head()
+        if name in SKIPPED and not m.group(3).rstrip().endswith("/"):
+            at = closing(name, at) or (size if name in RAW else at)  # if never closed, its content is read like any other
             continue
         if name in BLOCKS:
             flush()

@@ -188,6 +188,21 @@ def test_html():
     assert html_text.main_text("<article><p>cut off &am").endswith("cut off &am")
 
 
+def test_html_of_unclosed_elements():
+    prose_text = "this is the text of a page that is not marked and has the words that prose has in it, " * 4
+    rest = f"<p>{prose_text}</p>"
+    page = lambda head, body: f"<!DOCTYPE html><html><head><title>T</title>{head}{body}"
+    for name in ("embed", "svg", "math", "object", "canvas", "select", "button", "iframe", "noscript", "template"):
+        assert html_text.main_text(f"<body>{rest}<{name} src='x' aria-hidden='true'>{rest}") == f"{prose_text.strip()}\n\n{prose_text.strip()}", name
+        assert html_text.main_text(page("</head>", f"<body><{name} src='x'>{rest}")) == prose_text.strip(), name
+    for body in (f"<body>{rest}", f"<body class='x'><article>{rest}</article></body></html>", rest, prose_text):
+        assert html_text.main_text(page("<meta charset=utf-8>\n<link rel=x>\n", body)) == prose_text.strip()
+        assert html_text.main_text(page("<noscript>", body)) == prose_text.strip()
+    for name in ("script", "style", "textarea", "title"):
+        assert html_text.main_text(f"<body>{rest}<{name}>{rest}") == prose_text.strip()
+    assert html_text.main_text(f"<body>{rest}<button>press</button><svg><text>label</text></svg>") == prose_text.strip()
+
+
 def test_line_dedup(spark, docs, empty):
     passage = prose(60, 77)
     lines = [(1, f"a first line\n{passage}\nan end"), (2, f"{prose(40, 78)}\n{passage}\nother"), (3, passage), (4, "short\nshort"), (5, None), (6, "")]
