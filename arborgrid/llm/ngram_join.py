@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, table, unpacked
+from .common import WORD, materialise, packed, table, unpacked
 from .graph import components
 
 WIDTH = 4
@@ -326,20 +326,9 @@ def _tested(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, per
     return both.repartition("edge").sortWithinPartitions("edge", "a", "b").mapInArrow(partial(_overlap, percent), "a long, b long, linked boolean")
 
 
-def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Documents link when 100 * intersection >= percent * union of their n-grams of width words (8 at most).
-
-    1. Count n-grams by cell (gram_ranks). 2. Of each document's set its rarest n-grams: a prefix, its length from
-    the set's size, that a linked document must share one of. Documents with equal sets become one node. 3. Nodes that share a prefix
-    n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. The product of each block's bit rows gives about a spanning forest of the pairs
-    that may link. 5. Those are tested on the full sets; links give components. 6. Every pair across two of these components
-    that may still link is tested too: no link between different components is lost, and none within one matters.
-
-    Null or wordless text: n_shingles 0 and a component of its own. Null doc_id: takes part; it names no component unless
-    all of the component's ids are null. Repeated rows each get a row. An empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The steps of join_components: doc_id, n, h (the text's hash) and node of each row of docs, and component (its
+    smallest node) and component_id of each node."""
     spark = docs.sparkSession
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     ranks = spark.sparkContext.broadcast(gram_ranks(d, "text", width))
@@ -377,27 +366,49 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = labels.join(comps, "node", "left") if comps is not None else labels.withColumn("component", F.lit(None).cast("long"))
     labels = labels.withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least, "component").select("node", "component_id")
+    return profile, labels.join(least, "component").select("node", "component", "component_id")
+
+
+def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Documents link when 100 * intersection >= percent * union of their n-grams of width words (8 at most).
+
+    1. Count n-grams by cell (gram_ranks). 2. Of each document's set its rarest n-grams: a prefix, its length from
+    the set's size, that a linked document must share one of. Documents with equal sets become one node. 3. Nodes that share a prefix
+    n-gram and can link by their sizes and its places meet in blocks; equal blocks once. 4. The product of each block's bit rows gives about a spanning forest of the pairs
+    that may link. 5. Those are tested on the full sets; links give components. 6. Every pair across two of these components
+    that may still link is tested too: no link between different components is lost, and none within one matters.
+
+    Null or wordless text: n_shingles 0 and a component of its own. Null doc_id: takes part; it names no component unless
+    all of the component's ids are null. Repeated rows each get a row. An empty table gives an empty result.
+    """
+    profile, labels = _labelled(docs, text, doc_id, width, percent)
+    labels = labels.select("node", "component_id")
     out = profile.select("doc_id", "n", "node").join(labels, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without all but one of each component: the one with the smallest doc_id stays.
+    """The rows of docs without all but one of each component: the one with the smallest doc_id stays, nulls last.
 
-    Rows with a null doc_id, and repeated rows with the id that stays, are told apart by their order in the component:
-    one row stays in all.
+    Rows with one doc_id, or none, are told apart by the hash of the whole row; of wholly equal rows one stays. A row
+    without a word is a component of its own, and stays.
     """
-    labels = materialise(join_components(docs, text, doc_id, width, percent), "join-result")
-    first = labels.where("component_id = doc_id").groupBy(F.col("doc_id").alias("stay")).agg((F.count("*") > 1).alias("twice"))
-    stays = materialise(first, "join-stays")
+    profile, labels = _labelled(docs, text, doc_id, width, percent)
+    node = profile.where("node is not null").groupBy("h").agg(F.max("node").alias("node"))
     full = docs.select(packed(docs).alias("row"), docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    kept = full.join(stays, F.col("id") == F.col("stay")).select("row", "id", "twice")
+    full = full.select("row", "id", F.xxhash64("text").alias("h"), F.xxhash64("row").alias("key"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"))
+    same = full.where("words").groupBy("h", "id", "key").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "key", "h", "n")
+    # combined by text before components meet, so that many copies of a text are no large group
+    first = same.groupBy("h").agg(F.min(order).alias("first")).join(node, "h").join(labels, "node").groupBy("component").agg(F.min("first").alias("first"))
+    stays = materialise(first.select(F.col("first.id").alias("stay"), F.col("first.key").alias("key"), F.col("first.h").alias("h"), (F.col("first.n") > 1).alias("twice")), "join-stays")
+    kept = full.where("words").join(stays, ["key", "h"]).where(F.col("id").eqNullSafe(F.col("stay")))
     once = kept.where("not twice").select("row")
     if not stays.where("twice").isEmpty():
-        once = once.unionAll(kept.where("twice").groupBy("id").agg(F.min("row").alias("row")).select("row"))
-    nameless = full.where("id is null").groupBy("row").agg(F.lit(1)).select("row")
-    return unpacked(once.unionAll(nameless), "row", docs.columns)
+        once = once.unionAll(kept.where("twice").groupBy("key", "h", "id").agg(F.min("row").alias("row")).select("row"))
+    return unpacked(once.unionAll(full.where("not words").select("row")), "row", docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

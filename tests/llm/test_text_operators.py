@@ -151,6 +151,18 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert {x["doc_id"] for x in corpus_pipeline.ngram_jaccard(spark, table, "").collect()} == {k for k in got if got[k] == k} != {x["doc_id"] for x in ngram_join.keep_one(table).collect()}
 
 
+def test_keep_one_by_row(spark):
+    a, b, c = prose(100, 501), prose(100, 502), prose(100, 503)
+    near = c.replace(c.split()[50], "CHANGED", 1)
+    data = [(1, a, "en", "x", 0), (1, b, "en", "x", 0), (2, b, "en", "x", 0), (None, c, "en", "x", 0), (None, c, "en", "y", 0), (None, near, "en", "x", 0), (None, c, "en", "x", 0), (None, a, "en", "x", 0), (7, None, "en", "x", 0), (7, " ", "en", "x", 0), (8, a, "en", "x", 0), (8, a, "en", "x", 0)]
+    kept = ngram_join.keep_one(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in kept if x["doc_id"] in (1, 2, 8)) == sorted([(1, a), (1, b)])
+    assert [x["text"] in (c, near) for x in kept if x["doc_id"] is None] == [True]
+    assert [x["text"] for x in kept if x["doc_id"] == 7].count(None) == 1 and len(kept) == 5
+    twice = spark.createDataFrame([(8, a, "en", "x", 0)] * 3, SCHEMA)
+    assert ngram_join.keep_one(twice).count() == 1
+
+
 ITEMS = [(1, "what is the largest moon of the sixth planet in our system? It is called titan by everyone here."), (2, "unrelated words about a river bank and some boats on it. The answer is seven boats exactly now."), (3, None), (4, "")]
 
 
