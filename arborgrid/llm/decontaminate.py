@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,13 +83,33 @@ class Index:
     longest: int
 
 
-def build(items: list[tuple[int | None, str | None]]) -> Index:
-    """Items with a null or wordless text are left out: nothing can contain them."""
+@dataclass
+class Facts:
+    """What an item's scores and the passages' length depend on besides the item: of all items, however many indexes they make."""
+
+    n: int
+    mean: float
+    df: Counter
+    longest: int
+
+
+def facts_of(texts: Iterable[str | None]) -> Facts:
+    n = total = 0
+    df, longest = Counter(), 1
+    for text in texts:
+        if here := words(text):
+            n, total, longest = n + 1, total + len(here), max(longest, len(here))
+            df.update(set(here))
+    return Facts(n, total / max(1, n), df, longest)
+
+
+def build(items: list[tuple[int | None, str | None]], facts: Facts | None = None) -> Index:
+    """Items with a null or wordless text are left out: nothing can contain them. facts: of all items, if these are a part."""
+    facts = facts or facts_of(t for _, t in items)
     kept = [(i, words(t), *parts(t)) for i, t in items]
     kept = [x for x in kept if x[1]]
-    n, mean = len(kept), sum(len(x[1]) for x in kept) / max(1, len(kept))
-    df = Counter(t for x in kept for t in set(x[1]))
-    terms = {t: k for k, t in enumerate(sorted(df), 1)}  # 0: a word that no item has
+    n, mean, df = facts.n, facts.mean, facts.df
+    terms = {t: k for k, t in enumerate(sorted({t for x in kept for t in x[1]}), 1)}  # 0: a word that no item has
     postings: list[list[tuple[int, float]]] = [[] for _ in range(len(terms) + 1)]
     for at, x in enumerate(kept):
         tf = Counter(x[1])
@@ -97,13 +117,13 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
         total = sum(impact.values())
         for t, v in impact.items():
             postings[terms[t]].append((at, float(v / total)))
-    width = max(4, -(-n // BLOCKS))
-    most = np.zeros((len(postings), -(-max(1, n) // width)), np.float32)
+    width = max(4, -(-len(kept) // BLOCKS))
+    most = np.zeros((len(postings), -(-max(1, len(kept)) // width)), np.float32)
     for t, p in enumerate(postings):
         for at, v in p:
             most[t, at // width] = max(most[t, at // width], v * 1.000001)  # rounded up
     as_ids = lambda x: [terms[t] for t in x]
-    return Index(_Terms(terms), [x[0] for x in kept], postings, width, most, most.max(1), [grams(as_ids(x[2])) for x in kept], [grams(as_ids(x[3])) for x in kept], max((len(x[1]) for x in kept), default=1))
+    return Index(_Terms(terms), [x[0] for x in kept], postings, width, most, most.max(1), [grams(as_ids(x[2])) for x in kept], [grams(as_ids(x[3])) for x in kept], facts.longest)
 
 
 def search(index: Index, query: np.ndarray, least: float = RETRIEVE) -> list[tuple[int, float]]:
@@ -209,13 +229,17 @@ def _scan(sent):
 
 
 def indexes(items: DataFrame, text: str = "text", item_id: str = "item_id") -> Iterator[Index]:
-    """Indexes of the items, each of INDEX_CHARS characters at most (or of one item), read one after another."""
+    """Indexes of the items, each of INDEX_CHARS characters at most (or of one item), read one after another.
+
+    Document frequencies, mean and longest length are those of all items, so that scores do not depend on the parts.
+    """
     side = items.select(items[item_id].cast("long").alias("id"), items[text].alias("text"))
     chars = side.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * chars // INDEX_CHARS))
+    facts = None if n == 1 else facts_of(r["text"] for r in side.select("text").toLocalIterator())
     for k in range(n):
         some = side if n == 1 else side.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield build([(r["id"], r["text"]) for r in some.orderBy("id", "text").collect()])
+        yield build([(r["id"], r["text"]) for r in some.orderBy("id", "text").collect()], facts)
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -175,6 +175,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    terms = [f"t{k}" for k in range(300)]
+    texts = [" ".join(r.choice(terms, r.integers(40, 60), p=np.arange(300, 0, -1) / 45150)) + ". " + " ".join(r.choice(terms, 6)) for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    # one word of each question is another, so that scores are below 1 and depend on how rare it is
+    held = spark.createDataFrame([(k, f"{prose(50, k)} other {t.split(' ', 1)[1]} {prose(50, k + 40)}") for k, t in enumerate(texts)], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find(held, items).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 2000)
+    assert len(list(decontaminate.indexes(items))) > 3
+    assert sorted(map(tuple, decontaminate.find(held, items).collect())) == whole and len(whole) >= 30
+
+
 def test_search_equals_scoring_everything():
     r = np.random.default_rng(3)
     terms = [f"t{k}" for k in range(60)]
