@@ -25,5 +25,6 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
-#: op7's digest columns follow from the table alone; the archives themselves are held by a round trip.
+#: op7's page_id and digest columns follow from the table alone and could be SQL; none is registered, as its url and key are read
+#: back from the archives, which tests hold by a round trip.
 ORACLES = {}

@@ -179,6 +179,7 @@ class Archive:
 
     def __init__(self, spark: SparkSession, folder: str, directory: DataFrame):
         self.spark, self.folder, self.directory = spark, folder, directory
+        self._sorted: list | None = None
 
     def read(self, payload: bool = True) -> DataFrame:
         """Every capture, through the index: blocks are dealt out, each read by range, then its records by range."""
@@ -187,17 +188,25 @@ class Archive:
         return blocks.repartition(n, F.xxhash64("file", "offset")).mapInArrow(_read(self.folder, payload), _CAPTURE)
 
     def lookup(self, urls: list[str]) -> list[dict]:
-        """Captures of some URLs: the directory's rows that may hold a key, then a binary search in the block."""
+        """Captures of some URLs: a binary search in the directory for the blocks that may hold a key, then in each block."""
         store, path = fs.FileSystem.from_uri(self.folder)
+        blocks = self._blocks()
+        firsts, lasts = ([b[n] for b in blocks] for n in ("first", "last"))
         out = []
         for key in sorted({surt(u) for u in urls}):
-            for b in self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first").collect():
+            for b in blocks[bisect_left(lasts, key) : bisect_right(firsts, key)]:
                 entries = _entries(store, path, b["file"], b["offset"], b["length"])
                 keys = [e[0] for e in entries]
                 wanted = entries[bisect_left(keys, key) : bisect_right(keys, key)]
                 out += [r for x in _captures(store, path, wanted, True) for r in x.to_pylist()]
         return out
 
+    def _blocks(self) -> list:
+        """The directory's rows in the order of their keys, one for BLOCK_ENTRIES captures; read once."""
+        if self._sorted is None:
+            self._sorted = sorted(self.directory.collect(), key=lambda b: (b["first"], b["last"], b["file"], b["offset"]))
+        return self._sorted
+
 
 def write_archive(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", content: str = "html") -> Archive:
     """Write one record per row of pages and index them.

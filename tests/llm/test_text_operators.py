@@ -362,6 +362,15 @@ def test_warc(spark, tmp_path):
     assert warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string")).read().count() == 0
 
 
+def test_warc_lookup_over_blocks(spark):
+    pages = [(k, f"http://{'abc'[k % 3]}.example/{k % 5 if k % 3 else ''}", f"page {k}") for k in range(3 * (warc.BLOCK_ENTRIES + 200))]
+    a = warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert a.directory.count() > 3 and a.lookup(["http://nowhere.example/"]) == []
+    a.directory = None  # read once: from here on lookups bisect, and scan nothing
+    for url in ("http://a.example/", "http://b.example/3", "http://c.example/0", "http://a.example/0"):
+        assert [r["page_id"] for r in a.lookup([url])] == [k for k, u, _ in pages if u == url]
+
+
 def test_sharding(spark, docs, empty):
     many = spark.createDataFrame([(k, prose(200, k), "en", "s", 0) for k in range(300)], SCHEMA).repartition(4)
     s = sharding.shard(many, small=20_000, target=200_000)
