@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Set to /tmp/checkpoints only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, as in tests, a local master gets
+    /tmp/checkpoints; any other is an error, since its executors would not see each other's files."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         root = "file:///tmp/checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
@@ -39,7 +42,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames, and no other: nothing reads them any more."""
+    for df in frames:
+        if folder := df.__dict__.pop("_folder", None):
+            drop_folder(df.sparkSession, folder)
 
 
 def drop_folder(spark: SparkSession, uri: str) -> None:

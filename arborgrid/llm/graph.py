@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = materialise(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        then, now = now, materialise(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(then)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -30,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     own = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
+    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own), "components")
+    release(now)
+    return out

@@ -126,6 +126,46 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_in_small_blocks(spark):
+    """Groups cut into several blocks with few hubs, n-grams chained from five documents on, against all pairs."""
+    r = np.random.default_rng(15)
+    texts = []
+    for base in range(4):
+        w = prose(60, 520 + base).split()
+        for _ in range(40):
+            x = list(w)
+            for at in r.choice(60, r.integers(0, 4), replace=False):
+                x[at] = f"w{r.integers(0, 5)}"
+            texts.append((len(texts), " ".join(x)))
+    texts += [(len(texts) + k, " ".join(r.choice(["a", "b", "c"], 6))) for k in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for limits in (ngram_join.Limits(4, 300, 6, 1), ngram_join.Limits(4, 2000, 1000, 4)):
+        assert Counter(tuple(x) for x in ngram_join.join_components(table, limits=limits).collect()) == brute_components(texts)
+
+
+def test_products_and_signatures_lose_no_link():
+    r = np.random.default_rng(16)
+    for _ in range(60):
+        base = r.integers(0, 1 << 62, 150).astype(np.uint64)
+        sets = [np.unique(np.r_[r.choice(base, r.integers(1, 150), replace=False), r.integers(0, 1 << 62, r.integers(0, 12)).astype(np.uint64)]) for _ in range(12)]
+        percent = int(r.integers(20, 90))
+        links = [(i, j) for i, j in itertools.permutations(range(12), 2) if 100 * np.intersect1d(sets[i], sets[j]).size >= percent * np.union1d(sets[i], sets[j]).size]
+        assert all(ngram_join.may_overlap(percent, sets[i].size, ngram_join.signature(sets[i]), sets[j].size, ngram_join.signature(sets[j])) for i, j in links)
+        side = r.integers(0, 2, 12)
+        for cross in (False, True):
+            wanted = [(i, j) for i, j in links if not cross or side[i] != side[j]]
+            got = ngram_join.linked(percent, cross, np.arange(12), side, sets)
+            assert set(got) <= set(wanted) and len(got) < 12
+
+            def labels(pairs):
+                own = list(range(12))
+                for i, j in pairs:
+                    own = [own[i] if x == own[j] else x for x in own]
+                return [own.index(x) for x in own]
+
+            assert labels(got) == labels(wanted)
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     """Links at five words and 0.8 against brute force; most pairs here are no links at four words and 0.85."""
     import corpus_pipeline
