@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborgrid.llm import decontaminate, html_text, line_dedup, lm_model, lm_scoring, mixing, ngram_join, quality, sharding, token_counts, warc
 
@@ -268,6 +269,34 @@ def test_html_of_unclosed_elements():
     assert html_text.main_text(f"<body>{rest}<button>press</button><svg><text>label</text></svg>") == prose_text.strip()
 
 
+def test_html_by_block_rules():
+    """Names of classes and attributes decide nothing alone; another language is judged by length and links."""
+    one = "this is the text of a page that is not marked and has the words that prose has in it, " * 4
+    two = "the other part of the text is here and it has what we know of the words that are in use, " * 4
+    both = f"{one.strip()}\n\n{two.strip()}"
+    p = f"<p>{one}</p><p>{two}</p>"
+    for wrapper in ("article style='overflow:hidden'", "article class='visually-hidden-not overflow-hidden'", "div class='widget'", "div id=sidebar-widget", "main", "div class=x"):
+        assert html_text.main_text(f"<body><nav><a href=/>menu</a></nav><{wrapper}>{p}</{wrapper.split()[0]}>") == both, wrapper
+    assert html_text.main_text(f"<div class='widget'>{p}<div class='comments'><p>{one} and so on</p></div></div>") == both
+    assert html_text.main_text(f"<div>{p}</div><section id='comments'><p>{one * 5}</p></section><div class='related-posts'><p>{two}</p></div>") == both
+    assert html_text.main_text(f"<article><div class='entry-header'><h1>The title</h1></div>{p}</article>") == f"The title\n\n{both}"
+    assert html_text.main_text(f"<p>{one}<a href=\"x\"\">link</a></p><p>{two}</p>") == f"{one}link\n\n{two.strip()}"
+    for gone in ("hidden", "style='display: none'", "aria-hidden=true", "role='dialog'"):
+        assert html_text.main_text(f"<div {gone}><p>{one}</p></div><div>{p}</div>") == both
+    other = "quel ramo del lago di Como che volge a mezzogiorno tra due catene non interrotte di monti tutto a seni e a golfi " * 3
+    assert html_text.main_text(f"<ul><li><a href=/>voce</a></li></ul><div><p>{other}</p><p>breve riga</p><p>{other}</p></div>") == f"{other.strip()}\n\nbreve riga\n\n{other.strip()}"
+    assert html_text.main_text(f"<article>{p}<table><tr><td>1 2 3 {'4 5 ' * 60}</td></tr></table><p><a href=/t>all of it a link</a></p></article>") == f"{both}\n\n1 2 3 {'4 5 ' * 60}".strip()
+
+
+def test_html_of_a_table(spark):
+    page = "<article><h1>T</h1><p>" + "the words of a very long page and what is in it " * 20_000 + "</p></article>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "y"), (None, "v", "", "z"), (3, "w", "<br>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
+    got = Counter(tuple(r) for r in html_text.extract(pages).collect())
+    assert got == Counter((i, u, t, len(t)) for i, u, h, _ in rows for t in [html_text.main_text(h)]) and len(html_text.main_text(page)) > 900_000
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
 def test_line_dedup(spark, docs, empty):
     passage = prose(60, 77)
     lines = [(1, f"a first line\n{passage}\nan end"), (2, f"{prose(40, 78)}\n{passage}\nother"), (3, passage), (4, "short\nshort"), (5, None), (6, "")]
