@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 # Percentile ranks of the bundle, and the width of the mode's bins.
 RANKS = (0.01, 0.05, 0.10, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.90, 0.95, 0.99)
 MODE_BIN = 0.5
@@ -77,20 +79,28 @@ def bundle_from_counts(df: DataFrame, keys: list[str], value: str, prefix: str)
     given, keys = keys, [f"__key{i}" for i in range(len(keys))]  # names of their own: a caller's keys may be called anything
     df = df.select(*[F.col(g).alias(k) for g, k in zip(given, keys, strict=True)], value)
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("k"))
-    w, whole = Window.partitionBy(*keys).orderBy("x"), Window.partitionBy(*keys)
-    c = c.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(whole)).withColumn("mean", F.sum(F.col("k") * F.col("x")).over(whole) / F.col("n"))
-    c = c.withColumn("before", F.col("upto") - F.col("k")).withColumn("bin", F.floor(F.col("x") / MODE_BIN))
-    c = c.withColumn("in_bin", F.sum("k").over(Window.partitionBy(*keys, "bin")))
+    # ranges of (keys, x), each in one part and counted on its own; what lies before a part is a sum over parts
+    c = materialise(c.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), "counts")
+    parts = c.groupBy(*keys, "part").agg(F.sum("k").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = parts.select(*keys, "part", before.alias("lead"))  # one row per part and key: never data-sized
+    whole = c.groupBy(*keys).agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("mean"))
+    bins = c.groupBy(*keys, F.floor(F.col("x") / MODE_BIN).alias("bin")).agg(F.sum("k").alias("in_bin"))
+    bins = bins.groupBy(*keys).agg(((F.max(F.struct("in_bin", (-F.col("bin")).alias("b")))["b"] * -1 + 0.5) * MODE_BIN).alias("mode"))
+    # without keys the other side is one row
+    beside = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))
+    c = beside(c.join(parts, [*keys, "part"]), whole)
+    c = c.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys, "part").orderBy("x")) + F.col("lead")).withColumn("before", F.col("upto") - F.col("k"))
     at = lambda r, f: F.max(F.when((f(F.lit(r) * (F.col("n") - 1)) >= F.col("before")) & (f(F.lit(r) * (F.col("n") - 1)) < F.col("upto")), F.col("x")))
     first = c.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         *[at(r, F.floor).alias(f"f{k}") for k, r in enumerate(RANKS)], *[at(r, F.ceil).alias(f"c{k}") for k, r in enumerate(RANKS)],
-        ((F.max(F.struct("in_bin", (-F.col("bin")).alias("b")))["b"] * -1 + 0.5) * MODE_BIN).alias("mode"),
     )
+    first = beside(first, bins)
     pos = lambda r: F.lit(r) * (F.col("n") - 1)
     q = F.array(*[F.col(f"f{k}") + (pos(r) - F.floor(pos(r))) * (F.col(f"c{k}") - F.col(f"f{k}")) for k, r in enumerate(RANKS)])
     first = first.withColumn("q", q).select(*keys, "lo", "hi", "mode", "q")
-    j = c.join(first, keys) if keys else c.crossJoin(F.broadcast(first))  # one row
+    j = beside(c, first)
     x, k, a, b, d = F.col("x"), F.col("k"), F.col("before"), F.col("upto"), F.col("x") - F.col("mean")
     # sums of i, i(i-1), i(i-1)(i-2) over places a <= i < b are differences of falling powers
     fall = lambda m, p: {2: m * (m - 1), 3: m * (m - 1) * (m - 2), 4: m * (m - 1) * (m - 2) * (m - 3)}[p] / p

@@ -92,8 +92,7 @@ def grid_metrics(points: DataFrame, grid: GridSpec, o: Metrics | None = None) ->
     if o.intensity:
         gathered.append(F.collect_list(F.when(high, F.col("intensity").cast("double"))).alias("__int_"))
     gathered += [F.collect_list(F.when(high, F.col(c).cast("double"))).alias(f"__{c}_") for c in o.channels]
-    firsts = F.collect_list(F.when(high & (F.col("return_number") == 1), F.col("h"))).alias("__first")
-    g = p.groupBy("row", "col").agg(*count_aggregates(o), *strata_aggregates(o, grid.cell**2), *gathered, firsts)
+    g = p.groupBy("row", "col").agg(*count_aggregates(o), *strata_aggregates(o, grid.cell**2), *gathered)
     g = g.withColumn("__h", F.col("__elev_"))
     for prefix in ["elev_", *(["int_"] if o.intensity else []), *[f"{c}_" for c in o.channels]]:
         g = with_bundle(g, f"__{prefix}", prefix)
@@ -112,7 +111,7 @@ def grid_metrics(points: DataFrame, grid: GridSpec, o: Metrics | None = None) ->
             "afabovemode": 100.0 * over("__h", "elev_mode") / first,
         }
     )
-    return g.drop("__h", "__first")
+    return g.drop("__h")
 
 
 def apply_sentinels(cells: DataFrame, s: Sentinels, skip: tuple[str, ...] = ("row", "col")) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..schema import GridSpec
 
 
@@ -99,8 +100,7 @@ def tree_tops(chm: DataFrame, grid: GridSpec, minht: float, a: float, b: float)
     other = v.select(F.col("row").alias("nr"), F.col("col").alias("nc"), "value")
     beaten = far.join(other, ["nr", "nc"]).where("value >= h and (nr <> row or nc <> col)").select("row", "col").distinct()
     tops = seeds.join(beaten, ["row", "col"], "left_anti")
-    order = F.col("row").cast("long") * grid.cols + F.col("col")
-    tops = tops.withColumn("tree_id", F.row_number().over(Window.orderBy(order)))  # tops only: a small part of the pixels
+    tops = numbered(tops, ["row", "col"], "tree_id", 1).withColumn("tree_id", F.col("tree_id").cast("int"))
     return tops.select("tree_id", "row", "col", grid.centre_x(F.col("col")).alias("x"), grid.centre_y(F.col("row")).alias("y"), F.col("h").alias("height"), (2.0 * (a + b * F.col("h"))).alias("crown_diameter"))
 
 
