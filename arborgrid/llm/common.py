@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_folder, materialise, new_folder, release  # noqa: F401  for the operators of this subpackage
+
 #: White space as the contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,48 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, as in tests, a local master gets
-    /tmp/checkpoints; any other is an error, since its executors would not see each other's files."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
-        root = "file:///tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A name that no other call has; two runs, or two attempts, never share files."""
-    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folder = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete what materialise() wrote for these frames, and no other: nothing reads them any more."""
-    for df in frames:
-        if folder := df.__dict__.pop("_folder", None):
-            drop_folder(df.sparkSession, folder)
-
-
-def drop_folder(spark: SparkSession, uri: str) -> None:
-    """Delete a folder through Hadoop's file system, which reaches any store that Spark does."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

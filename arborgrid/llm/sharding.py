@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, packed, partition_id, table
+from ..functions.numbering import numbered
+from .common import drop_folder, materialise, new_folder, packed, partition_id, release, table
 
 #: Bytes of text and other values, before compression, of an arriving shard and of a finished one.
 SMALL, TARGET = 4 << 20, 64 << 20
 #: Shards of one tier that are merged at least; a tier spans sizes that differ by less than this factor.
 FAN_IN = 4
-
-
-@dataclass
-class Shard:
-    """One immutable file: its name, raw bytes, rows and how often its rows have been rewritten."""
-
-    name: str
-    size: int
-    rows: int
-    level: int
+#: Finished shards' worth of a tier that one task of the planning orders.
+PLANNED = 64
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -75,40 +68,26 @@ def _listed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), *(pa.array(x, pa.int64()) for x in c[1:])], names=["name", "size", "rows", "level"])
 
 
+#: One immutable file: its name, raw bytes, rows and how often its rows have been rewritten.
 _LISTED = "name string, size long, rows long, level long"
 
 
-def tier(size: int, fan_in: int = FAN_IN) -> int:
-    n = 0
-    while size >= fan_in:
-        size //= fan_in
-        n += 1
-    return n
+def plan(shards: DataFrame, target: int = TARGET, fan_in: int = FAN_IN) -> DataFrame:
+    """Groups to merge: names, size, level. shards: name, size, rows, level.
 
+    Of each tier below the target (sizes that differ by less than fan_in) that holds fan_in shards or more, runs in name
+    order whose sizes add up to about the target. A tier with fewer waits for more arrivals. A large tier is dealt by hash
+    into parts of about PLANNED targets, which are ordered each on its own.
+    """
+    small = shards.where(F.col("size") * 2 <= target).withColumn("tier", F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(float(fan_in))) + 1e-9).cast("int"))
+    tiers = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("size").alias("whole")).where(F.col("n") >= fan_in)
+    dealt = small.join(F.broadcast(tiers), "tier").withColumn("part", F.pmod(F.xxhash64("name"), F.ceil(F.col("whole") / (PLANNED * target))))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("tier", "part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = dealt.withColumn("run", F.floor(before / target)).groupBy("tier", "part", "run")
+    groups = runs.agg(F.sort_array(F.collect_list("name")).alias("names"), F.sum("size").alias("size"), (F.max("level") + 1).alias("level"))
+    return groups.where(F.size("names") > 1).select("names", "size", "level")
 
-def plan(shards: list[Shard], target: int = TARGET, fan_in: int = FAN_IN) -> list[list[Shard]]:
-    """Groups to merge: of each tier below the target, runs in name order whose sizes add up to about the target.
 
-    A tier with fewer than fan_in shards waits for more arrivals.
-    """
-    tiers: dict[int, list[Shard]] = {}
-    for s in sorted(shards, key=lambda s: s.name):
-        if 2 * s.size <= target:
-            tiers.setdefault(tier(s.size, fan_in), []).append(s)
-    out = []
-    for _, same in sorted(tiers.items()):
-        if len(same) < fan_in:
-            continue
-        run, size = [], 0
-        for s in same:
-            if run and size + s.size > target:
-                out.append(run)
-                run, size = [], 0
-            run.append(s)
-            size += s.size
-        if len(run) > 1:
-            out.append(run)
-    return [g for g in out if len(g) > 1]
 
 
 def _merge(folder: str):
@@ -136,11 +115,21 @@ def _merge(folder: str):
     return run
 
 
+def _delete(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store, path = open_store(folder)
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            if store.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+                store.delete_file(f"{path}/{name}")
+        yield batch
+
+
 class ShardSet:
-    """A folder of shards and its manifests: v00000001.json, v00000002.json, ... each a full list of live shards.
+    """A folder of shards (data), lists of shards (lists) and versions v00000001, v00000002, ...
 
-    A commit writes a temporary file and renames it to the next version, which fails if another writer was first. Readers
-    take the highest version; files that no manifest names are garbage and harm nobody.
+    A version is a small file that names its list: a table of all live shards, as large as it needs to be. It is made with one step that fails
+    if it exists, so of two writers one wins. Readers take the highest version; files that no list names are garbage and
+    harm nobody. Older versions stay readable until expire().
     """
 
     def __init__(self, spark: SparkSession, folder: str, small: int = SMALL, target: int = TARGET, fan_in: int = FAN_IN):
@@ -149,55 +138,94 @@ class ShardSet:
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{folder}/data"))
 
-    def version(self) -> int:
+    def versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return max([int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def version(self) -> int:
+        return max(self.versions(), default=0)
+
+    def _list(self, version: int) -> str:
+        return self.spark.read.text(f"{self.folder}/v{version:08d}", wholetext=True).first()[0].strip()
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def shards(self, version: int | None = None) -> DataFrame:
+        """name, size, rows, level of a version's live shards; of the newest if none is given."""
         v = self.version() if version is None else version
         if not v:
-            return []
-        text = self.spark.read.text(f"{self.folder}/v{v:08d}.json", wholetext=True).first()[0]
-        return [Shard(**x) for x in json.loads(text)["shards"]]
-
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        temporary, final = self._path(f"{self.folder}/.{uuid.uuid4().hex}"), self._path(f"{self.folder}/v{base + 1:08d}.json")
-        out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.name)]}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+            return self.spark.createDataFrame([], _LISTED)
+        return self.spark.read.schema(_LISTED).parquet(f"{self.folder}/lists/{self._list(v)}")
+
+    def commit(self, base: int, shards: DataFrame) -> int:
+        """Write the list, then make version base + 1 in one step; an error if another writer was first."""
+        name = uuid.uuid4().hex
+        shards.write.parquet(f"{self.folder}/lists/{name}")
+        final, temporary = self._path(f"{self.folder}/v{base + 1:08d}"), self._path(f"{self.folder}/.{name}")
+        java = self.spark._jvm.java
+        try:
+            local = self._fs.getUri().getScheme() == "file"
+            out = self._fs.create(temporary if local else final, False)
+            out.write(bytearray(name.encode()))
+            out.close()
+            if local:  # whole before it has its name; a link is never made over a file
+                at = lambda p: java.io.File(p.toUri().getPath()).toPath()
+                java.nio.file.Files.createLink(at(final), at(temporary))
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {base + 1} was committed by another writer") from e
+        finally:
             self._fs.delete(temporary, False)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
         return base + 1
 
     def append(self, docs: DataFrame) -> int:
-        """Add rows as small shards, without a shuffle, and commit them. One row per shard comes to the driver."""
+        """Add rows as small shards, without a shuffle, and commit them."""
         base = self.version()
-        made = docs.mapInArrow(_append(f"{self.folder}/data", self.small), _LISTED).collect()
-        return self.commit(base, self.shards(base) + [Shard(**r.asDict()) for r in made])
+        made = docs.mapInArrow(_append(f"{self.folder}/data", self.small), _LISTED)
+        return self.commit(base, self.shards(base).unionAll(made))
 
     def compact(self) -> int:
         """Merge until no tier holds enough similar shards; each round is one job and one commit."""
-        while groups := plan(live := self.shards(base := self.version()), self.target, self.fan_in):
-            rows = [([s.name for s in g], sum(s.size for s in g), 1 + max(s.level for s in g)) for g in groups]
-            todo = self.spark.createDataFrame(rows, "names array<string>, size long, level long").repartition(len(rows))
-            made = todo.mapInArrow(_merge(f"{self.folder}/data"), _LISTED).collect()
-            gone = {s.name for g in groups for s in g}
-            self.commit(base, [s for s in live if s.name not in gone] + [Shard(**r.asDict()) for r in made])
-            for name in gone:  # no reader of this call's own needs them; older versions of the manifest end here
-                self._fs.delete(self._path(f"{self.folder}/data/{name}"), False)
-        return self.version()
+        while True:
+            base = self.version()
+            live = self.shards(base)
+            groups = materialise(plan(live, self.target, self.fan_in), "shard-groups")
+            n = groups.count()
+            if not n:
+                release(groups)
+                return base
+            made = groups.repartition(n).mapInArrow(_merge(f"{self.folder}/data"), _LISTED)
+            gone = groups.select(F.explode("names").alias("name"))
+            self.commit(base, live.join(gone, "name", "left_anti").unionAll(made))
+            release(groups)
+
+    def expire(self, keep: int = 1) -> None:
+        """Forget all but the newest `keep` versions, and delete the shards that only they name."""
+        versions = self.versions()
+        old, new = versions[:-keep], versions[-keep:]
+        if not old:
+            return
+        names = lambda vs: self.spark.read.schema(_LISTED).parquet(*[f"{self.folder}/lists/{self._list(v)}" for v in vs]).select("name").distinct()
+        dead = materialise(names(old).join(names(new), "name", "left_anti"), "shard-dead")
+        lists = [self._list(v) for v in old]
+        for v in old:
+            self._fs.delete(self._path(f"{self.folder}/v{v:08d}"), False)
+        dead.mapInArrow(partial(_delete, f"{self.folder}/data"), "name string").count()
+        for name in lists:
+            drop_folder(self.spark, f"{self.folder}/lists/{name}")
+        release(dead)
 
     def read(self, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """The live rows with their shard's name and their place in it."""
-        names = [f"{self.folder}/data/{s.name}" for s in self.shards(version)]
+        """The live rows with their shard's name and their place in it. Spark's scan takes the files' names on the driver, as
+        any of its scans lists its files there."""
+        names = [f"{self.folder}/data/{r['name']}" for r in self.shards(version).select("name").toLocalIterator()]
         if not names:
             return self.spark.createDataFrame([], T.StructType([*schema, T.StructField("shard", T.StringType()), T.StructField("place", T.LongType())]))
         return self.spark.read.schema(schema).parquet(*names).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("place"))
 
 
 def shard(docs: DataFrame, folder: str | None = None, small: int = SMALL, target: int = TARGET) -> ShardSet:
-    """Append docs and compact. Every row, null or repeated or empty, is kept as it is; an empty table gives no shards."""
+    """Append docs and compact.
+
+    Every row, null or repeated, empty or very long, is kept as it is, with all its columns; an empty table gives no shards.
+    """
     spark = docs.sparkSession
     out = ShardSet(spark, folder or new_folder(spark, "shards"), small, target)
     out.append(docs)
@@ -206,12 +234,14 @@ def shard(docs: DataFrame, folder: str | None = None, small: int = SMALL, target
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, shard (an id from 0 in name order), place in it, the shard's rows, raw bytes and level."""
+    """One row per row of docs: doc_id, shard (an id from 0 in name order), place in it, the shard's rows, raw bytes and level.
+
+    Columns of docs may have any names; doc_id is returned as it is, null or repeated."""
     made = shard(docs.select(packed(docs).alias("row")))
-    rows = made.read(docs.select(packed(docs).alias("row")).schema)
-    live = sorted(made.shards(), key=lambda s: s.name)
-    facts = docs.sparkSession.createDataFrame([(s.name, k, s.rows, s.size, s.level) for k, s in enumerate(live)], "shard string, shard_id long, shard_rows long, shard_bytes long, level long")
-    return rows.join(facts, "shard").select(F.col("row.doc_id").alias("doc_id"), "shard_id", "place", "shard_rows", "shard_bytes", "level")
+    made.expire()  # a folder of this call's own: nobody reads its older versions
+    rows = made.read(docs.select(packed(docs).alias("row")).schema).select(F.col("row.doc_id").alias("doc_id"), "shard", "place")
+    facts = numbered(made.shards(), ["name"], "shard_id").select(F.col("name").alias("shard"), "shard_id", F.col("rows").alias("shard_rows"), F.col("size").alias("shard_bytes"), "level")
+    return rows.join(facts, "shard").select("doc_id", "shard_id", "place", "shard_rows", "shard_bytes", "level")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
