@@ -1,8 +1,9 @@
-"""Unigram token counts: one forward pass over a trie of the distinct pre-tokens."""
+"""Unigram token counts: forward scores over a trie of the distinct pre-tokens."""
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,10 +14,9 @@ from .common import table
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks a word's beginning, as in the vocabulary.
 MARK = "▁"
-#: Distinct pre-tokens that a Python worker keeps counts of; beyond it counts are made anew for each batch.
-WORDS_KEPT = 600_000
+#: Nodes of a task's trie, and distinct pre-tokens that it remembers the counts of, before either starts over.
+NODES_KEPT, WORDS_KEPT = 1_000_000, 500_000
 _MODELS: dict[str, "Vocabulary"] = {}
-_COUNTS: dict[str, dict[bytes, int]] = {}
 
 
 class Vocabulary:
@@ -39,52 +39,61 @@ class Vocabulary:
         return _MODELS[path]
 
 
-def trie_counts(words: list[str], vocabulary: Vocabulary) -> list[int]:
-    """Pieces of each word's best segmentation; words must be sorted.
+class Trie:
+    """Distinct pre-tokens, one node for each prefix that some of them share.
 
-    In sorted order the trie's path to a word shares with the word before exactly their common prefix, so the forward
-    scores of the current path stand for the whole trie: each of its nodes is computed once, and memory is one path.
-    Of equal scores the segmentation with fewer pieces wins.
+    A node holds the forward score of its prefix, the best sum of piece scores that spell it, with the pieces of that
+    segmentation; both are computed once, when the node is made, from the nodes above it. The node at which a pre-token
+    ends holds its count. Of equal scores the segmentation with fewer pieces wins.
     """
-    score, longest, byte = vocabulary.score, vocabulary.longest, vocabulary.byte
-    out, before = [], ""
-    best, count = [0.0], [0]
-    for word in words:
-        k, most = 0, min(len(before), len(word))
-        while k < most and before[k] == word[k]:
-            k += 1
-        del best[k + 1 :], count[k + 1 :]
-        for end in range(k + 1, len(word) + 1):
-            n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            top, pieces = best[end - 1] + n_bytes * byte, count[end - 1] + n_bytes
-            for start in range(max(0, end - longest), end):
-                s = score.get(word[start:end])
-                if s is not None:
-                    s += best[start]
-                    if s > top or (s == top and count[start] + 1 < pieces):
-                        top, pieces = s, count[start] + 1
-            best.append(top)
-            count.append(pieces)
-        out.append(count[-1])
-        before = word
-    return out
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.child: dict[int, int] = {}  # a node's number and a code point to the node below
+        self.best, self.pieces = array("d", [0.0]), array("l", [0])
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+    def insert(self, word: str) -> int:
+        """The count at the word's terminal node; nodes that no earlier word has made are made on the way."""
+        child, best, pieces = self.child, self.best, self.pieces
+        score, longest, byte = self.vocabulary.score, self.vocabulary.longest, self.vocabulary.byte
+        path = [0]
+        for end, c in enumerate(word, 1):
+            key = path[-1] << 21 | ord(c)
+            node = child.get(key)
+            if node is None:
+                n_bytes = len(c.encode("utf-8", "surrogatepass"))
+                top, fewest = best[path[-1]] + n_bytes * byte, pieces[path[-1]] + n_bytes
+                for start in range(max(0, end - longest), end):
+                    s = score.get(word[start:end])
+                    if s is not None:
+                        above = path[start]
+                        s += best[above]
+                        if s > top or (s == top and pieces[above] + 1 < fewest):
+                            top, fewest = s, pieces[above] + 1
+                node = child[key] = len(best)
+                best.append(top)
+                pieces.append(fewest)
+            path.append(node)
+        return pieces[path[-1]]
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.read(path)
-        known = _COUNTS.setdefault(path, {})
+        trie, known = Trie(vocabulary), {}
         for batch in batches:
             split = [t.as_py().encode("utf-8", "surrogatepass").split() if t.is_valid else [] for t in batch.column(1)]
-            new = {w for words in split for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > WORDS_KEPT:
-                    known.clear()
-                    new = {w for words in split for w in words}
-                words = sorted(MARK + w.decode("utf-8", "surrogatepass") for w in new)
-                known.update(zip((w[1:].encode("utf-8", "surrogatepass") for w in words), trie_counts(words, vocabulary), strict=True))
+            for w in {w for words in split for w in words if w not in known}:
+                if len(trie) > NODES_KEPT:
+                    trie = Trie(vocabulary)
+                known[w] = trie.insert(MARK + w.decode("utf-8", "surrogatepass"))
             n = [len(w) for w in split]
             t = [sum(map(known.__getitem__, w)) for w in split]
+            if len(known) > WORDS_KEPT:
+                known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
@@ -94,7 +103,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text"
     """doc_id, n_words, n_tokens for every row of docs; no shuffle.
 
     Pre-tokens are runs of anything but ASCII white space, each with a mark before it. Null, empty and blank texts have 0
-    tokens; repeated rows repeat; a null doc_id stays null.
+    tokens; repeated rows repeat; a null doc_id stays null; texts and pre-tokens count whole, however long. Columns besides the
+    two named ones play no part, whatever their names. An empty table gives an empty result.
     """
     side = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     return side.mapInArrow(_count(tokenizer), "doc_id long, n_words long, n_tokens long")
