@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: one block, one head, a class-factored output."""
+"""A small causal self-attention model in numpy: one block, one head, an output factored by frequency."""
 
 from __future__ import annotations
 
@@ -6,258 +6,252 @@ import base64
 
 import numpy as np
 
-#: Tokens: the first VOCABULARY - 2 ranks of a public byte-level vocabulary, then one end and one begin token.
-VOCABULARY, CLASSES = 2048, 32
-MEMBERS = VOCABULARY // CLASSES
-END, BEGIN = VOCABULARY - 2, VOCABULARY - 1
+#: The most frequent subwords have vectors of their own at input and output; the rest share BUCKETS input vectors, by number,
+#: and one output class, in which their shares are those of the training counts. So every subword has a probability.
+HEAD, BUCKETS, CLASSES = 1024, 1024, 32
+ROWS = HEAD + BUCKETS + 1  # input vectors: the last is the place before a text
 WIDTH, HIDDEN = 16, 32
-#: Tokens of a window, and of them those that repeat the end of the window before, as context only.
-WINDOW, OVERLAP = 16, 4
+#: Tokens of a window, and of them those that repeat the end of the window before, as context only, in scoring.
+WINDOW, OVERLAP = 32, 8
 Params = dict[str, np.ndarray]
 
 
 def encoder(path: str):
-    """A function from a word to its subword ids. Only the vocabulary's first ranks are used: nothing is trained."""
+    """A function from a word to its subword ids, and how many ids there are. The vocabulary is the whole public file."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    first = {k: v for k, v in ranks.items() if v < END}
-    own = tiktoken.Encoding("first-ranks", pat_str=r"[\s\S]+", mergeable_ranks=first, special_tokens={})
-    return lambda word: own.encode_ordinary(" " + word.decode("utf-8", "replace"))
-
-
-def initial(counts: np.ndarray, seed: int = 5) -> Params:
-    """Random weights; the output's biases are the tokens' log frequencies."""
+    own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return (lambda word: own.encode_ordinary(" " + word.decode("utf-8", "replace"))), max(ranks.values()) + 1
+
+
+class Vocabulary:
+    """What the training counts of all subwords fix. The head's subwords, most frequent first, are cut into CLASSES runs of
+    about equal weight, so that the frequent ones stand in short classes; one more class holds all the others."""
+
+    def __init__(self, counts: np.ndarray):
+        c = np.asarray(counts, np.float64)
+        self.size, head = len(c), min(HEAD, len(c) - 1)
+        order = np.argsort(-c, kind="stable")
+        self.rank = np.empty(self.size, np.int64)
+        self.rank[order] = np.arange(self.size)
+        inside = self.rank < head
+        self.inputs = np.append(np.where(inside, self.rank, HEAD + np.arange(self.size) % BUCKETS), ROWS - 1)
+        weight = c[order[:head]] + 0.1
+        starts, left, k = [0], weight.sum(), 0
+        for _ in range(min(CLASSES, head) - 1):
+            share, held = left / (CLASSES - len(starts) + 1), weight[k]
+            k += 1
+            while held + weight[k] / 2 < share and head - k > CLASSES - len(starts):
+                held += weight[k]
+                k += 1
+            left -= held
+            starts.append(k)
+        self.starts = np.array([*starts, head])
+        self.classes = len(starts)  # the number of the class of the rest
+        self.of = np.where(inside, np.searchsorted(self.starts, self.rank, "right") - 1, self.classes).astype(np.uint8)
+        rest = np.where(inside, 0.0, c + 0.5)
+        with np.errstate(divide="ignore"):
+            self.tail = np.log(rest / rest.sum()).astype(np.float32)
+        sums = np.add.reduceat(weight, self.starts[:-1])
+        self.bias = np.log(weight / np.repeat(sums, np.diff(self.starts)))
+        self.class_bias = np.log(np.append(sums, rest.sum()) / (sums.sum() + rest.sum()))
+
+
+def initial(v: Vocabulary, seed: int = 5) -> Params:
+    """Random weights; the output's biases are the log frequencies."""
     r = np.random.default_rng(seed)
     normal = lambda *s, by=0.1: (r.standard_normal(s) * by).astype(np.float32)
-    c = counts.reshape(CLASSES, MEMBERS) + 0.1
-    d, h = WIDTH, HIDDEN
+    d, h, members = WIDTH, HIDDEN, len(v.bias)
     return {
-        "embed": normal(VOCABULARY, d, by=0.3), "place": normal(WINDOW, d), "q": normal(d, d, by=d**-0.5), "k": normal(d, d, by=d**-0.5), "v": normal(d, d, by=d**-0.5), "o": normal(d, d),
-        "up": normal(d, h, by=d**-0.5), "up_b": np.zeros(h, np.float32), "down": normal(h, d), "cls": normal(d, CLASSES), "cls_b": np.log(c.sum(1) / c.sum()).astype(np.float32),
-        "mem": normal(CLASSES, d, MEMBERS), "mem_b": np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
+        "embed": normal(ROWS, d, by=0.3), "place": normal(WINDOW, d), "q": normal(d, d, by=d**-0.5), "k": normal(d, d, by=d**-0.5), "v": normal(d, d, by=d**-0.5), "o": normal(d, d),
+        "up": normal(d, h, by=d**-0.5), "up_b": np.zeros(h, np.float32), "down": normal(h, d), "cls": normal(d, v.classes + 1), "cls_b": v.class_bias.astype(np.float32),
+        "mem": normal(members, d), "mem_b": v.bias.astype(np.float32),
     }
 
 
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def _block(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+class _Output:
+    """ln P of targets given states, and its gradient, over one scratch buffer: fresh arrays of this size cost more than the sums."""
+
+    def __init__(self, p: Params, v: Vocabulary, most: int):
+        self.p, self.v = p, v
+        self.widest = max(v.classes + 1, int(np.diff(v.starts).max()))
+        self.buffer, self.ones = np.empty(most * self.widest, p["embed"].dtype), np.ones((self.widest, 1), p["embed"].dtype)
+
+    def _exp(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp of the scores of each row, their sum, and the own column's score."""
+        x = np.matmul(h, w, out=self.buffer[: len(h) * len(b)].reshape(len(h), len(b)))
+        x += b
+        np.clip(x, -60, 60, out=x)  # so that exp needs no maximum; far beyond what trained weights give
+        own = x[np.arange(len(x)), at]
+        np.exp(x, out=x)
+        return x, (x @ self.ones[: len(b)])[:, 0], own
+
+    def __call__(self, h: np.ndarray, y: np.ndarray, gradient: Params | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """h, y sorted by the targets' classes: order, ln P and the states' gradient (of -sum ln P) if gradient is given."""
+        p, v = self.p, self.v
+        c = v.of[y]
+        order = np.argsort(c, kind="stable")
+        h, c, y = h[order], c[order], y[order]
+        x, total, own = self._exp(h, p["cls"], p["cls_b"], c)
+        got = own - np.log(total)
+        dh = None
+        if gradient is not None:
+            x /= total[:, None]
+            x[np.arange(len(x)), c] -= 1
+            gradient["cls"], gradient["cls_b"] = h.T @ x, x.sum(0)
+            gradient["mem"], gradient["mem_b"] = np.zeros_like(p["mem"]), np.zeros_like(p["mem_b"])
+            dh = x @ p["cls"].T
+        ends = np.searchsorted(c, np.arange(v.classes + 2))
+        for k in range(v.classes):
+            a, b, s, e = ends[k], ends[k + 1], v.starts[k], v.starts[k + 1]
+            if a == b or e - s == 1:  # a class of one is certain
+                continue
+            at = v.rank[y[a:b]] - s
+            x, total, own = self._exp(h[a:b], p["mem"][s:e].T, p["mem_b"][s:e], at)
+            got[a:b] += own - np.log(total)
+            if gradient is not None:
+                x /= total[:, None]
+                x[np.arange(b - a), at] -= 1
+                gradient["mem"][s:e], gradient["mem_b"][s:e] = x.T @ h[a:b], x.sum(0)
+                dh[a:b] += x @ p["mem"][s:e]
+        rest = ends[v.classes]
+        got[rest:] += v.tail[y[rest:]]
+        return order, got, dh
+
+
+def _states(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The block's output for windows of input rows (windows, WINDOW), and what the gradient needs."""
     x = p["embed"].take(x_ids, axis=0)
     x += p["place"]
-    scale = WIDTH**-0.5
-    all3 = x.reshape(-1, WIDTH) @ np.concatenate([p["q"] * x.dtype.type(scale), p["k"], p["v"]], 1)
-    q, k, v = (all3[:, j : j + WIDTH].reshape(x.shape) for j in range(0, 3 * WIDTH, WIDTH))
-    s = q @ k.transpose(0, 2, 1)
-    np.clip(s, -60, 60, out=s)  # so that exp needs no maximum; far beyond what trained weights give
+    flat = x.reshape(-1, WIDTH)
+    q, k, v = (np.matmul(flat, w).reshape(x.shape) for w in (p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]))
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
     s *= _MASK
-    s /= s @ np.ones((WINDOW, 1), s.dtype)
-    u = s @ v
+    s /= np.matmul(s, np.ones((WINDOW, 1), s.dtype))
+    u = np.matmul(s, v)
     h = u.reshape(-1, WIDTH) @ p["o"]
-    h += x.reshape(-1, WIDTH)
+    h += flat
     r = h @ p["up"]
     r += p["up_b"]
     np.maximum(r, 0, out=r)
     out = r @ p["down"]
     out += h
-    return out.reshape(x.shape), (x, q, k, v, s, u, h.reshape(x.shape), r.reshape(*x.shape[:2], HIDDEN))
-
-
-def _by_class(h: np.ndarray, ends: np.ndarray, p: Params, out: np.ndarray | None = None) -> np.ndarray:
-    """Members' scores for states sorted by class, ends[k] being where class k starts: one product a class."""
-    out = np.empty((len(h), MEMBERS), h.dtype) if out is None else out
-    for k in np.flatnonzero(np.diff(ends)):
-        part = out[ends[k] : ends[k + 1]]
-        np.matmul(h[ends[k] : ends[k + 1]], p["mem"][k], out=part)
-        part += p["mem_b"][k]
-    return out
-
-
-def _sorted_by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """An order of targets by class; their classes and members in that order; each class's start."""
-    c = (y // MEMBERS).astype(np.uint8)
-    order = np.argsort(c, kind="stable")
-    c = c[order]
-    return order, c, y[order] % MEMBERS, np.searchsorted(c, np.arange(CLASSES + 1))
-
+    return out, (x, q, k, v, s, u, h, r)
 
-class Forward:
-    """ln P of targets, batch after batch, in arrays that are made once: fresh ones of this size cost more than the sums do."""
 
-    def __init__(self, p: Params, batch: int):
-        n, kind = batch * WINDOW, p["embed"].dtype
-        empty = lambda *shape: np.empty(shape, kind)
-        self.p, self.qkv = p, [np.ascontiguousarray(w) for w in (p["q"] * kind.type(WIDTH**-0.5), p["k"], p["v"])]
-        self.rows, self.attn = [empty(n, WIDTH) for _ in range(7)], empty(batch, WINDOW, WINDOW)
-        self.hidden, self.cls, self.mem = empty(n, HIDDEN), empty(n, CLASSES), empty(n, MEMBERS)
-        self.total, self.ones, self.lines = empty(n, 1), np.ones((max(WINDOW, CLASSES, MEMBERS), 1), kind), np.arange(n)
-
-    def _picked(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """ln softmax(x) at one column of each row; x is used up."""
-        np.clip(x, -60, 60, out=x)
-        out = x[self.lines[: len(x)], at]
-        np.exp(x, out=x)
-        total = np.matmul(x, self.ones[: x.shape[1]], out=self.total[: len(x)])[:, 0]
-        return np.subtract(out, np.log(total, out=total), out=out)
-
-    def __call__(self, x_ids: np.ndarray, use: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """x_ids: (windows, WINDOW). use: places in it, counted through all windows, whose next tokens are y."""
-        p, b, n = self.p, len(x_ids), x_ids.size
-        x, q, k, v, u = (w[:n] for w in self.rows[:5])
-        three = lambda w: w.reshape(b, WINDOW, WIDTH)
-        p["embed"].take(x_ids.ravel(), axis=0, out=x, mode="clip")
-        x3 = three(x)
-        x3 += p["place"]
-        for w, out in zip(self.qkv, (q, k, v), strict=True):
-            np.matmul(x, w, out=out)
-        s = np.matmul(three(q), three(k).transpose(0, 2, 1), out=self.attn[:b])
-        np.clip(s, -60, 60, out=s)  # so that exp needs no maximum; far beyond what trained weights give
-        np.exp(s, out=s)
-        s *= _MASK
-        total = np.matmul(s.reshape(n, WINDOW), self.ones[:WINDOW], out=self.total[:n])
-        np.matmul(s, three(v), out=three(u))
-        u /= total
-        # from here on only the used places, sorted by their target's class
-        order, c, m, ends = _sorted_by_class(y)
-        at, n = use[order], len(order)
-        h, skip, seen = self.rows[5][:n], self.rows[6][:n], self.rows[1][:n]
-        np.matmul(u.take(at, axis=0, out=seen, mode="clip"), p["o"], out=h)
-        h += x.take(at, axis=0, out=skip, mode="clip")
-        r = np.matmul(h, p["up"], out=self.hidden[:n])
-        r += p["up_b"]
-        np.maximum(r, 0, out=r)
-        np.matmul(r, p["down"], out=skip)
-        h += skip
-        scores = np.matmul(h, p["cls"], out=self.cls[:n])
-        scores += p["cls_b"]
-        got = self._picked(scores, c)
-        got += self._picked(_by_class(h, ends, p, self.mem[:n]), m)
-        out = np.empty_like(got)
-        out[order] = got
-        return out
-
-
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many tokens laid end to end: each window's first token, its text's end, and what it scores from."""
-    step = WINDOW - OVERLAP
+    step = WINDOW - overlap
     n = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // step)), 0)
     ends = np.cumsum(lengths)
     text = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = (ends - lengths)[text] + k * step
-    return start, ends[text], np.where(k == 0, 0, OVERLAP)
+    return start, ends[text], np.where(k == 0, 0, overlap)
 
 
-def score(p: Params, tokens: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
+def _before(v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The model's input rows: a text's tokens one place later."""
+    rows = v.inputs[tokens]
+    before = np.empty_like(rows)
+    before[1:] = rows[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = ROWS - 1
+    return before
+
+
+def score(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
     """ln P of each token given those before it in its text, within the window. Each token is scored in one window only:
     the first OVERLAP tokens of every window but a text's first are context."""
-    out = np.zeros(len(tokens), np.float32)
+    out = np.zeros(len(tokens), p["embed"].dtype)
     if not len(tokens):
         return out
-    before = np.empty_like(tokens)  # the model's input: a text's tokens one place later
-    before[1:] = tokens[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = BEGIN
-    start, end, skip = windows(lengths)
-    at, forward = np.arange(WINDOW), Forward(p, min(batch, len(start)))
+    before, (start, end, skip) = _before(v, tokens, lengths), windows(lengths, OVERLAP)
+    at, output = np.arange(WINDOW), _Output(p, v, batch * WINDOW)
     for k in range(0, len(start), batch):
         spots = start[k : k + batch, None] + at
         last = end[k : k + batch, None]
         use = np.flatnonzero((spots < last) & (at >= skip[k : k + batch, None]))
         np.minimum(spots, last - 1, out=spots)  # places past a text's end are never used, nor seen by those before
         where = spots.ravel()[use]
-        out[where] = forward(before[spots], use, tokens[where])
+        order, got, _ = output(_states(p, before[spots])[0].take(use, axis=0), tokens[where])
+        out[where[order]] = got
     return out
 
 
-def _loss(x: np.ndarray, at: np.ndarray, n: np.float32) -> tuple[float, np.ndarray]:
-    """Sum of -ln softmax(x) at one column of each row, and the gradient of that sum over n; x is used up."""
-    rows = np.arange(len(x))
-    x -= x.max(1, keepdims=True)
-    own = x[rows, at]
-    np.exp(x, out=x)
-    total = x @ np.ones((x.shape[1], 1), x.dtype)
-    x /= total * n
-    x[rows, at] -= 1 / n
-    return float(np.log(total).sum() - own.sum()), x
-
-
-def gradients(p: Params, x_ids: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, Params]:
-    """Mean loss over the used targets and its gradients. x_ids, y, use: (batch, WINDOW)."""
-    h2, (x, q, k, v, a, u, h, r) = _block(p, x_ids)
-    g = {n: np.zeros_like(w) for n, w in p.items() if n in ("embed", "mem", "mem_b")}
-    order, c, m, ends = _sorted_by_class(y[use])
-    at = np.flatnonzero(use)[order]
-    s = h2.reshape(-1, WIDTH).take(at, axis=0)
-    n = np.float32(max(1, len(at)))
-    scores = s @ p["cls"]
-    scores += p["cls_b"]
-    loss, dl = _loss(scores, c, n)
-    g["cls"], g["cls_b"] = s.T @ dl, dl.sum(0)
-    ds = dl @ p["cls"].T
-    loss2, dl = _loss(_by_class(s, ends, p), m, n)
-    for j in np.flatnonzero(np.diff(ends)):
-        part = slice(ends[j], ends[j + 1])
-        np.matmul(s[part].T, dl[part], out=g["mem"][j])
-        ds[part] += dl[part] @ p["mem"][j].T
-        g["mem_b"][j] = dl[part].sum(0)
-    dh2 = np.zeros((use.size, WIDTH), np.float32)
-    dh2[at] = ds
-    dh2 = dh2.reshape(h2.shape)
+def gradients(p: Params, v: Vocabulary, x_ids: np.ndarray, y: np.ndarray, use: np.ndarray, output: _Output | None = None) -> tuple[float, Params]:
+    """Mean loss over the used targets and its gradients. x_ids (input rows), y (tokens), use: (batch, WINDOW)."""
+    out, (x, q, k, val, a, u, h, r) = _states(p, x_ids)
+    g: Params = {}
+    at = np.flatnonzero(use)
+    n = x.dtype.type(max(1, len(at)))
+    order, got, ds = (output or _Output(p, v, x_ids.size))(out.take(at, axis=0), y.ravel()[at], g)
+    for name in g:
+        g[name] /= n
+    dh2 = np.zeros_like(out)
+    dh2[at[order]] = ds / n
     two = lambda w: w.reshape(-1, w.shape[-1])
-    g["down"] = two(r).T @ two(dh2)
-    dz = (dh2 @ p["down"].T) * (r > 0)
-    g["up"], g["up_b"] = two(h).T @ two(dz), two(dz).sum(0)
-    dh = dh2 + dz @ p["up"].T
-    g["o"] = two(u).T @ two(dh)
-    du = dh @ p["o"].T
-    da = du @ v.transpose(0, 2, 1)
-    dsc = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk, dv = (dsc @ k) * x.dtype.type(WIDTH**-0.5), dsc.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ du
+    g["down"] = r.T @ dh2
+    dz = dh2 @ p["down"].T
+    dz *= r > 0
+    g["up"], g["up_b"] = h.T @ dz, dz.sum(0)
+    dh = dz @ p["up"].T
+    dh += dh2
+    g["o"] = two(u).T @ dh
+    du = (dh @ p["o"].T).reshape(x.shape)
+    da = np.matmul(du, val.transpose(0, 2, 1))
+    da -= np.matmul(da * a, np.ones((WINDOW, 1), a.dtype))
+    da *= a
+    dq, dk, dv = np.matmul(da, k) * x.dtype.type(WIDTH**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), du)
     g["q"], g["k"], g["v"] = (two(x).T @ two(w) for w in (dq, dk, dv))
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g["place"] = dx.sum(0)
-    np.add.at(g["embed"], x_ids.ravel(), two(dx))
-    return (loss + loss2) / float(n), g
-
-
-def train(p: Params, tokens: np.ndarray, lengths: np.ndarray, rate: float = 0.01, batch: int = 32, epochs: int = 1, seed: int = 3) -> tuple[Params, list[float]]:
-    """Adam over all windows of the given texts in a shuffled order that depends on the seed alone."""
-    start, end, skip = windows(lengths)
+    dh += two(dq) @ p["q"].T
+    dh += two(dk) @ p["k"].T
+    dh += two(dv) @ p["v"].T
+    g["place"] = dh.reshape(x.shape).sum(0)
+    rows = x_ids.ravel()
+    g["embed"] = np.stack([np.bincount(rows, dh[:, j], ROWS) for j in range(WIDTH)], 1).astype(x.dtype)
+    return -float(got.sum()) / float(n), g
+
+
+def train(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, rate: float = 0.01, batch: int = 128, seed: int = 3) -> tuple[Params, list[float]]:
+    """Adam over all windows of the given texts, end to end, in a shuffled order that depends on the seed alone: each token
+    is a target once."""
+    start, end, _ = windows(lengths, 0)
     if not len(start):
         return p, []
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = BEGIN
+    before = _before(v, tokens, lengths)
     p = {n: w.copy() for n, w in p.items()}
     one, two = {n: np.zeros_like(w) for n, w in p.items()}, {n: np.zeros_like(w) for n, w in p.items()}
-    losses, t, total = [], 0, epochs * -(-len(start) // batch)
-    r = np.random.default_rng(seed)
-    at = np.arange(WINDOW)
-    for _ in range(epochs):
-        order = r.permutation(len(start))
-        for k in range(0, len(order), batch):
-            w = order[k : k + batch]
-            spots = start[w, None] + at
-            inside = spots < end[w, None]
-            spots = np.where(inside, spots, start[w, None])
-            loss, g = gradients(p, before[spots], tokens[spots], inside & (at >= skip[w, None]))
-            losses.append(loss)
-            t += 1
-            now = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
-            for n, d in g.items():
-                one[n] += (d - one[n]) * 0.1
-                d *= d
-                d -= two[n]
-                d *= 0.01
-                two[n] += d
-                np.multiply(two[n], 1 / (1 - 0.99**t), out=d)
-                np.sqrt(d, out=d)
-                d += 1e-8
-                np.divide(one[n], d, out=d)
-                d *= now / (1 - 0.9**t)
-                p[n] -= d
+    losses, t, total = [], 0, -(-len(start) // batch)
+    at, output = np.arange(WINDOW), _Output(p, v, batch * WINDOW)
+    order = np.random.default_rng(seed).permutation(len(start))
+    for k in range(0, len(order), batch):
+        w = order[k : k + batch]
+        spots = start[w, None] + at
+        inside = spots < end[w, None]
+        np.minimum(spots, end[w, None] - 1, out=spots)
+        loss, g = gradients(p, v, before[spots], tokens[spots], inside, output)
+        losses.append(loss)
+        t += 1
+        now = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
+        for n, d in g.items():
+            one[n] += (d - one[n]) * 0.1
+            d *= d
+            d -= two[n]
+            d *= 0.01
+            two[n] += d
+            np.multiply(two[n], 1 / (1 - 0.99**t), out=d)
+            np.sqrt(d, out=d)
+            d += 1e-8
+            np.divide(one[n], d, out=d)
+            d *= now / (1 - 0.9**t)
+            p[n] -= d
     return p, losses
 
 
@@ -265,8 +259,8 @@ def packed_params(p: Params) -> bytes:
     return b"".join(p[n].astype("<f4").tobytes() for n in sorted(p))
 
 
-def unpacked_params(blob: bytes) -> Params:
-    shapes, out, at = {n: w.shape for n, w in initial(np.ones(VOCABULARY)).items()}, {}, 0
+def unpacked_params(blob: bytes, v: Vocabulary) -> Params:
+    shapes, out, at = {n: w.shape for n, w in initial(v).items()}, {}, 0
     for n in sorted(shapes):
         size = int(np.prod(shapes[n]))
         out[n] = np.frombuffer(blob, "<f4", size, at).reshape(shapes[n]).copy()

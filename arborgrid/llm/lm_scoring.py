@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm_model as M
-from .common import materialise, partition_id, table
+from .common import materialise, partition_id, release, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FOLDS, HELD_OUT = 5, 1
@@ -22,10 +22,8 @@ HOT = 1 << 17
 #: Each round fits the model on another share of the training documents, by hash; together the rounds visit them all.
 #: A task of a round trains on about TASK_TOKENS subwords, however the input is split.
 ROUNDS, TASK_TOKENS = 4, 2_000_000
-#: MIX of a word's probability comes from the attention model, which sees the context; the rest
-#: from discounted counts, which give up DISCOUNT of each known word's count to words as the attention model spells them:
-#: P(w) = (1 - MIX) * (max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * A(w)) + MIX * A(w).
-DISCOUNT, MIX = 0.5, 0.6
+#: Subwords that a task trains on at once.
+STEP_TOKENS = 1_000_000
 #: Words that a Python worker scores at once, and distinct words that it keeps the subwords of.
 CHUNK, LEXICON = 120_000, 250_000
 
@@ -62,34 +60,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Subwords:
-    """Texts to subword tokens, with an end token each."""
+def _ids(path: str):
+    """Rows (spread, ids): a text's subword ids with an end id after them, two bytes each, or four in a large vocabulary."""
 
-    def __init__(self, path: str):
-        self.encode, self.known = M.encoder(path), {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = M.encoder(path)
+        kind, known = _kind(end), {}
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                out = []
+                for w in tokens_of(text):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = encode(w)
+                        if len(known) < LEXICON:
+                            known[w] = ids
+                    out += ids
+                out.append(end)
+                rows.append(np.array(out, kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["spread", "ids"])
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        known, out, lengths = self.known, [], []
-        for text in texts:
-            n = 0
-            for w in tokens_of(text):
-                ids = known.get(w)
-                if ids is None:
-                    ids = self.encode(w)
-                    if len(known) < LEXICON:
-                        known[w] = ids
-                out.append(ids)
-                n += len(ids)
-            out.append((M.END,))
-            lengths.append(n + 1)
-        return np.fromiter(chain.from_iterable(out), np.int64), np.array(lengths, np.int64)
+    return run
 
 
-def _subword_counts(path: str):
+def _kind(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def _subword_counts(end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = _Subwords(path), np.zeros(M.VOCABULARY, np.int64)
+        counts = np.zeros(end + 1, np.int64)
         for batch in batches:
-            counts += np.bincount(split(list(batch.column(0)))[0], minlength=M.VOCABULARY)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), _kind(end)), minlength=end + 1)
         if counts.any():
             yield _blob(counts.sum(), counts.astype("<i8").tobytes())
 
@@ -124,23 +127,24 @@ def _total(blobs: DataFrame, kind: str) -> tuple[float, np.ndarray | None]:
     return sum(r["weight"] for r in rows), np.sum([np.frombuffer(r["data"], "<f8") for r in rows], axis=0)
 
 
-def _fitted(path: str, sent, seed: int):
+def _fitted(end: int, sent, seed: int):
     """Train on this task's documents from the common weights; return the weights times the tokens seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, split, seen = M.unpacked_params(sent.value), _Subwords(path), 0
-        texts: list = []
+        v = M.Vocabulary(sent.value["counts"])
+        p, seen, texts, held = M.unpacked_params(sent.value["params"], v), 0, [], 0
 
         def step() -> None:
-            nonlocal p, seen, texts
-            tokens, lengths = split(texts)
-            p, _ = M.train(p, tokens, lengths, rate=0.01, batch=48, seed=seed)
-            seen, texts = seen + len(tokens), []
+            nonlocal p, seen, texts, held
+            tokens = np.concatenate(texts).astype(np.int64)
+            p, _ = M.train(p, v, tokens, np.array(list(map(len, texts)), np.int64), seed=seed)
+            seen, texts, held = seen + len(tokens), [], 0
 
         for batch in batches:
-            for text in batch.column(0):
-                texts.append(text)
-                if len(texts) >= 2000:
+            for ids in batch.column(0).to_pylist():
+                texts.append(np.frombuffer(ids, _kind(end)))
+                held += len(texts[-1])
+                if held >= STEP_TOKENS:
                     step()
         if texts:
             step()
@@ -150,32 +154,37 @@ def _fitted(path: str, sent, seed: int):
     return run
 
 
-def fit(train: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> M.Params:
-    """The model's weights from texts (columns text, spread: a hash).
+def fit(train: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> dict:
+    """`params` (the model's weights, packed) and `counts` (of all subwords) from texts (columns text, spread: a hash).
 
-    The first frequencies are those of all documents. Each round takes another share of the documents, and each document is
-    in one. A round's documents are dealt out by hash to tasks of about task_tokens subwords. Every task trains on its own
-    part from the same weights; the mean of theirs, by tokens, starts the next round. A task holds 2000 texts at a time.
+    The counts are those of all documents. Each round takes another share of the documents, and each document is in one.
+    A round's documents are dealt out by hash to tasks of about task_tokens subwords. Every task trains on its own part
+    from the same weights; the mean of theirs, by tokens, starts the next round. A task holds STEP_TOKENS and one text.
     """
     spark = train.sparkSession
-    size, counts = _total(train.select("text").mapInArrow(_subword_counts(tokenizer), _BLOB), "<i8")
-    p = M.initial(counts if counts is not None else np.ones(M.VOCABULARY))
+    end = M.encoder(tokenizer)[1]
+    ids = materialise(train.select("text", "spread").mapInArrow(_ids(tokenizer), "spread long, ids binary"), "lm-ids")
+    size, counts = _total(ids.select("ids").mapInArrow(_subword_counts(end), _BLOB), "<i8")
+    counts = counts if counts is not None else np.ones(end + 1)
+    v = M.Vocabulary(counts)
+    p = M.packed_params(M.initial(v))
     tasks = max(1, round(size / rounds / task_tokens))
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast(M.packed_params(p))
-        part = train.where(F.pmod("spread", F.lit(rounds)) == k).repartition(tasks, "spread").select("text")
-        seen, total = _total(part.mapInArrow(_fitted(tokenizer, sent, k), _BLOB), "<f8")
+        sent = spark.sparkContext.broadcast({"params": p, "counts": counts})
+        part = ids.where(F.pmod("spread", F.lit(rounds)) == k).repartition(tasks, "spread").select("ids")
+        seen, total = _total(part.mapInArrow(_fitted(end, sent, k), _BLOB), "<f8")
         if seen:
-            p = M.unpacked_params((total / seen).astype("<f4").tobytes())
-    return p
+            p = (total / seen).astype("<f4").tobytes()
+    release(ids)
+    return {"params": p, "counts": counts}
 
 
 class _Lexicon(dict):
-    """Words of a worker to small numbers; arrays hold each word's subwords, hash and logs of probability."""
+    """Words of a worker to small numbers; arrays hold each word's count, hash and subwords."""
 
-    def __init__(self, encode, hot: dict[int, int], hot_counts: np.ndarray, base, n: int):
+    def __init__(self, encode, hot: dict[int, int], hot_counts: np.ndarray):
         super().__init__()
-        self.encode, self.hot, self.hot_counts, self.base, self.n = encode, hot, hot_counts, base, n
+        self.encode, self.hot, self.hot_counts = encode, hot, hot_counts
         self.reset()
 
     def reset(self) -> None:
@@ -211,10 +220,11 @@ class _Lexicon(dict):
 def _score(path: str, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
-        p, n, v, end_count = M.unpacked_params(g["params"]), g["n"], g["v"], g["ends"]
+        vocabulary = M.Vocabulary(g["model"]["counts"])
+        p, n, v, end_count = M.unpacked_params(g["model"]["params"], vocabulary), g["n"], g["v"], g["ends"]
         below = n + 0.5 * (v + 1)
-        escape = np.log((1 - MIX) * min(1.0, DISCOUNT * v / n) + MIX) if n else 0.0
-        lexicon = _Lexicon(M.encoder(path), {int(h): k for k, h in enumerate(g["words"])}, g["counts"], below, n)
+        encode, end = M.encoder(path)
+        lexicon = _Lexicon(encode, {int(h): k for k, h in enumerate(g["words"])}, g["hot"])
         row = partition_id() << 40
         pending: list[tuple] = []
         held = 0
@@ -227,7 +237,7 @@ def _score(path: str, sent):
             offset = np.cumsum(length) - length
             # the end is one more word, with one subword
             word_count, word_len = np.append(counts, end_count), np.append(length, 1)
-            store, offset = np.append(store, M.END), np.append(offset, len(store))
+            store, offset = np.append(store, end), np.append(offset, len(store))
             ends = np.cumsum(sizes + 1) - 1
             ids = np.full(int((sizes + 1).sum()), len(counts), np.int64)
             body = np.ones(len(ids), bool)
@@ -238,23 +248,23 @@ def _score(path: str, sent):
             tokens = store[np.repeat(offset[ids] - first, lens) + np.arange(int(lens.sum()))]
             starts = np.r_[0, ends[:-1] + 1]
             per_text = np.add.reduceat(lens, starts)
-            lm = np.add.reduceat(M.score(p, tokens, per_text), first, dtype=np.float64)
+            model = np.add.reduceat(M.score(p, vocabulary, tokens, per_text), np.cumsum(per_text) - per_text, dtype=np.float64) / np.log(10)
             c = word_count[ids]
-            frequent = c > 0
-            rare = c < 0
-            lm += escape
-            own = np.log(np.maximum(c - DISCOUNT, 1e-300) * (1 - MIX) / max(1, n))
-            model = np.add.reduceat(np.where(rare, 0.0, np.logaddexp(own, lm)), starts) / np.log(10)
             base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / below), 0.0), starts)
-            known = np.add.reduceat(frequent.astype(np.int64), starts)
-            rare_ids, rare_at = hashes[ids[rare]], np.add.reduceat(rare.astype(np.int64), starts)
-            offsets = pa.array(np.r_[0, np.cumsum(rare_at)].astype(np.int32))
-            columns = [pa.array(row + np.arange(len(pending))), pa.array([x[0] for x in pending], pa.int64()), pa.array([x[1] for x in pending], pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(model), pa.ListArray.from_arrays(offsets, pa.array(rare_ids)), pa.ListArray.from_arrays(offsets, pa.array(lm[rare].astype(np.float32)))]
+            known = np.add.reduceat((c > 0).astype(np.int64), starts)
+            # words whose counts are met in a join: each once a text, with how often
+            rare = np.flatnonzero(c < 0)
+            text_of = np.searchsorted(ends, rare)
+            pairs, times = np.unique(text_of * (len(counts) + 1) + ids[rare], return_counts=True)
+            rare_text, rare_word = np.divmod(pairs, len(counts) + 1)
+            offsets = pa.array(np.searchsorted(rare_text, np.arange(len(pending) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[rare_word], times.astype(np.int32))]
+            columns = [pa.array(row + np.arange(len(pending))), pa.array([x[0] for x in pending], pa.int64()), pa.array([x[1] for x in pending], pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(model), *lists]
             row += len(pending)
             pending, held = [], 0
             if len(lexicon) > LEXICON:
                 lexicon.reset()
-            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "spelled"])
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
 
         for batch in batches:
             for doc, held_now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -272,10 +282,11 @@ def _score(path: str, sent):
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
-    Word counts cover all training documents. The attention model gives each word the product of its subwords'
-    probabilities, mixed with discounted frequencies of the words that training knows (DISCOUNT, MIX). score sums log10 over words
-    and the end. Null, empty and blank texts have the end token only. Repeated rows repeat. Without training documents every count
-    is 0 and the model is the untrained one.
+    Word counts cover all training documents, and the attention model is trained on all of them. score is the model's
+    log10 probability of the whole text: the sum over its subwords, the end included, in overlapping windows. Null, empty and
+    blank texts have the end token only; very long texts are scored whole. Repeated rows repeat. Columns besides the two named ones play
+    no part, whatever their names. Without training documents every count is 0 and the model is the untrained one. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), docs[text].alias("text"))
@@ -292,18 +303,16 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
         room, least = room - r["n"], r["least"]
     hot = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()  # HOT rows at most
     order = np.argsort(hot.column("word").to_numpy())
-    p = fit(train.select("text", F.xxhash64("doc_id", "text", F.lit(11)).alias("spread")), tokenizer)
-    given = {"params": M.packed_params(p), "n": int(n_words) + ends, "v": int(n_kinds) + (ends > 0), "ends": ends, "words": hot.column("word").to_numpy()[order], "counts": hot.column("c").to_numpy()[order]}
+    model = fit(train.select("text", F.xxhash64("doc_id", "text", F.lit(11)).alias("spread")), tokenizer)
+    given = {"model": model, "n": int(n_words) + ends, "v": int(n_kinds) + (ends > 0), "ends": ends, "words": hot.column("word").to_numpy()[order], "hot": hot.column("c").to_numpy()[order]}
     sent = spark.sparkContext.broadcast(given)
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, spelled array<float>"
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
     scored = materialise(d.mapInArrow(_score(tokenizer, sent), kinds), "lm-scored")
     below = F.lit(given["n"] + 0.5 * (given["v"] + 1))
     cold = counts.where(F.col("c") < (least if least is not None else 1 << 62))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.spelled").cast("double").alias("spelled"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
-    spelled = F.col("spelled") / float(np.log(10))  # never through exp where it stands alone: a very long word's is 0
-    whole = F.when(c > 0, F.log10((c - DISCOUNT) * ((1 - MIX) / max(1, given["n"])) + F.exp("spelled"))).otherwise(spelled)
-    sums = [F.sum(F.log10((c + 0.5) / below)).alias("rest"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(whole).alias("rest_score")]
+    sums = [F.sum(F.col("times") * F.log10((c + 0.5) / below)).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more")]
     rest = rare.join(cold, "word", "left").groupBy("row").agg(*sums)
     out = scored.join(rest, "row", "left")
     return out.select(
@@ -313,7 +322,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(given["n"]).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
+        "score",
     )
 
 
