@@ -9,17 +9,21 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, new_folder, partition_id, table
+from .common import materialise, new_folder, partition_id, release, table
 
 #: Payloads from this many bytes on are stored once; later equal ones are revisit records.
 REVISIT_FROM = 1000
 #: Bytes after which a task begins another archive; index entries in a block.
 ARCHIVE_BYTES, BLOCK_ENTRIES = 64 << 20, 1000
+#: Rows of the directory, one a block, that a search sends to the tasks at once; a larger directory takes several passes.
+DIRECTORY_ROWS = 200_000
 _ENTRY = "key string, page_id long, file string, offset long, length long"
 _BLOCK = "first string, last string, file string, offset long, length long, entries long"
 _CAPTURE = "key string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -35,6 +39,11 @@ def surt(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}){path}" if host else (url or "")
 
 
+@F.pandas_udf(T.StringType())
+def _keys(urls: pd.Series) -> pd.Series:
+    return urls.map(lambda u: surt(None if u is None or u != u else u))
+
+
 def _header(kind: str, fields: list[tuple[str, str]], body: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -72,7 +81,7 @@ def parse(member: bytes) -> dict:
 
 
 def _write(folder: str):
-    """Rows page_id, url, html, digest, refers_to to archives; each attempt of a task writes files of its own name."""
+    """Rows page_id, url, html, digest, refers_to, key to archives; each attempt of a task writes files of its own name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
@@ -80,7 +89,7 @@ def _write(folder: str):
         try:
             for batch in batches:
                 rows = []
-                for page, url, html, digest, refers in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                for page, url, html, digest, refers, key in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
@@ -88,7 +97,7 @@ def _write(folder: str):
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                     one = record(page, url, html.encode("utf-8", "surrogatepass"), digest, refers)
                     out.write(one)
-                    rows.append((surt(url), page, name, at, len(one)))
+                    rows.append((key, page, name, at, len(one)))
                     at += len(one)
                 yield _rows(rows, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["key", "page_id", "file", "offset", "length"])
         finally:
@@ -174,46 +183,108 @@ def _read(folder: str, payload: bool):
     return run
 
 
+def _bisected(keys: list[str], blocks: dict[str, list]) -> Iterator[tuple]:
+    """For each key the directory's blocks that may hold it: the first whose last key is not below, up to the last whose
+    first key is not above. blocks: columns of the directory in the order of keys."""
+    for key in keys:
+        for k in range(bisect_left(blocks["last"], key), bisect_right(blocks["first"], key)):
+            yield key, blocks["file"][k], blocks["offset"][k], blocks["length"][k]
+
+
+def _locate(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(list(_bisected(batch.column(0).to_pylist(), sent.value)), [pa.string(), pa.string(), pa.int64(), pa.int64()], ["key", "file", "offset", "length"])
+
+    return run
+
+
+def _wanted(entries: list[tuple], keys: list[str]) -> list[tuple]:
+    """A block's entries of some keys, each found by a binary search."""
+    own = [e[0] for e in entries]
+    return [e for key in keys for e in entries[bisect_left(own, key) : bisect_right(own, key)]]
+
+
+def _fetch(folder: str, payload: bool):
+    """Rows (key, file, offset, length) sorted by block: each block is read once, and of it the keys' records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        block, keys = None, []
+        for batch in batches:
+            for key, *place in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if place != block:
+                    if keys:
+                        yield from _captures(store, path, _wanted(_entries(store, path, *block), keys), payload)
+                    block, keys = place, []
+                keys.append(key)
+        if keys:
+            yield from _captures(store, path, _wanted(_entries(store, path, *block), keys), payload)
+
+    return run
+
+
 class Archive:
-    """Archives and their index in one folder of a store that all executors reach."""
+    """Archives and their index in one folder of a store that all executors reach. keys: those of all captures."""
 
-    def __init__(self, spark: SparkSession, folder: str, directory: DataFrame):
-        self.spark, self.folder, self.directory = spark, folder, directory
-        self._sorted: list | None = None
+    def __init__(self, spark: SparkSession, folder: str, directory: DataFrame, keys: DataFrame):
+        self.spark, self.folder, self.directory, self.keys = spark, folder, directory, keys
 
-    def read(self, payload: bool = True) -> DataFrame:
-        """Every capture, through the index: blocks are dealt out, each read by range, then its records by range."""
+    def scan(self, payload: bool = True) -> DataFrame:
+        """Every capture without a search: blocks are dealt out, each read by range, then its records by range."""
         blocks = self.directory.select("file", "offset", "length")
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return blocks.repartition(n, F.xxhash64("file", "offset")).mapInArrow(_read(self.folder, payload), _CAPTURE)
+        return blocks.repartition(self._tasks(), F.xxhash64("file", "offset")).mapInArrow(_read(self.folder, payload), _CAPTURE)
+
+    def find(self, keys: DataFrame, payload: bool = True) -> DataFrame:
+        """Captures of some keys (one column, repeated or not): a binary search of the sorted directory for the blocks that
+        may hold a key, one range read a block, a binary search in it, then a range read a record. A key with many captures
+        is spread over its blocks."""
+        wanted = keys.toDF("key").distinct()
+        out = None
+        for part in self._directory():
+            sent = self.spark.sparkContext.broadcast(part)
+            near = wanted.where(F.col("key").between(part["first"][0], part["last"][-1]))
+            places = near.mapInArrow(_locate(sent), "key string, file string, offset long, length long")
+            dealt = places.repartition(self._tasks(), F.xxhash64("file", "offset")).sortWithinPartitions("file", "offset", "key")
+            one = dealt.mapInArrow(_fetch(self.folder, payload), _CAPTURE)
+            out = one if out is None else out.unionAll(one)
+        return out if out is not None else self.scan(payload)
+
+    def read(self, payload: bool = True) -> DataFrame:
+        """Every capture, each key looked up in the index."""
+        return self.find(self.keys, payload)
 
     def lookup(self, urls: list[str]) -> list[dict]:
-        """Captures of some URLs: a binary search in the directory for the blocks that may hold a key, then in each block."""
+        """Captures of some URLs, on the driver."""
         store, path = fs.FileSystem.from_uri(self.folder)
-        blocks = self._blocks()
-        firsts, lasts = ([b[n] for b in blocks] for n in ("first", "last"))
         out = []
-        for key in sorted({surt(u) for u in urls}):
-            for b in blocks[bisect_left(lasts, key) : bisect_right(firsts, key)]:
-                entries = _entries(store, path, b["file"], b["offset"], b["length"])
-                keys = [e[0] for e in entries]
-                wanted = entries[bisect_left(keys, key) : bisect_right(keys, key)]
-                out += [r for x in _captures(store, path, wanted, True) for r in x.to_pylist()]
+        for part in self._directory():
+            for key, *place in _bisected(sorted({surt(u) for u in urls}), part):
+                out += [r for x in _captures(store, path, _wanted(_entries(store, path, *place), [key]), True) for r in x.to_pylist()]
         return out
 
-    def _blocks(self) -> list:
-        """The directory's rows in the order of their keys, one for BLOCK_ENTRIES captures; read once."""
-        if self._sorted is None:
-            self._sorted = sorted(self.directory.collect(), key=lambda b: (b["first"], b["last"], b["file"], b["offset"]))
-        return self._sorted
+    def _tasks(self) -> int:
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _directory(self) -> Iterator[dict[str, list]]:
+        """The directory's columns in the order of keys, DIRECTORY_ROWS at a time."""
+        names, held = ["first", "last", "file", "offset", "length"], []
+        for r in self.directory.orderBy("first", "last", "file", "offset").select(*names).toLocalIterator():
+            held.append(tuple(r))
+            if len(held) == DIRECTORY_ROWS:
+                yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
+                held = []
+        if held:
+            yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", content: str = "html") -> Archive:
-    """Write one record per row of pages and index them.
+    """Write one record per row of pages, in the order of keys, so that a block's records stand together, and index them.
 
     Null html: an empty payload. Of equal payloads of REVISIT_FROM bytes or more, the one with the largest page_id is a
     response, the others revisit it; with no id at all, all are responses, as are repeated rows with the largest id. Null
-    urls have an empty key. An empty table gives empty archives.
+    urls have an empty key. Very long pages are one record like others; repeated rows are several. Columns besides the three
+    named ones play no part, whatever their names. An empty table gives empty archives.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
@@ -223,13 +294,18 @@ def write_archive(pages: DataFrame, folder: str | None = None, page_id: str = "p
     p = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     large = p.where(F.octet_length("html") >= REVISIT_FROM)
     shared = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("digest", "original")
-    typed = p.join(materialise(shared, "warc-shared"), "digest", "left")
+    shared = materialise(shared, "warc-shared")
+    typed = p.join(shared, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    entries = materialise(typed.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), _ENTRY), "warc-entries")
+    keyed = typed.select("page_id", "url", "html", "digest", refers.alias("refers_to"), _keys("url").alias("key"))
+    keyed = keyed.repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
+    entries = materialise(keyed.mapInArrow(_write(folder), _ENTRY), "warc-entries")
     ordered = entries.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return Archive(spark, folder, materialise(ordered.mapInArrow(_index(folder), _BLOCK), "warc-directory"))
+    directory = materialise(ordered.mapInArrow(_index(folder), _BLOCK), "warc-directory")
+    release(shared)
+    return Archive(spark, folder, directory, entries.select("key"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = write_archive(table(spark, sf_dir, "pages")).read(payload=False)
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "key")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
