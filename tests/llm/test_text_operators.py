@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from arborgrid.llm import decontaminate, html_text, line_dedup, lm_model, lm_scoring, mixing, ngram_join, quality, sharding, token_counts, warc
@@ -88,6 +89,66 @@ def test_quality_counts(spark, docs, empty):
     assert quality.judge(empty, ratios).count() == 0
 
 
+def spark_hash(*values):
+    """Chained 64-bit hashes of strings (str), longs (int) and ints (np.int32)."""
+    h = 42
+    for x in values:
+        raw = x.encode() if isinstance(x, str) else int(x).to_bytes(4 if isinstance(x, np.int32) else 8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def test_mixing_takes_by_key_order(spark):
+    """Each source against the keys made here: complete epochs, then documents in key order, then the one that closes the gap best."""
+    r = np.random.default_rng(21)
+    data = [(k, prose(int(r.integers(5, 60)), 700 + k) + (" ***" if k % 4 == 0 else ""), "en", "abc"[min(2, k // 12)], 0) for k in range(90)]
+    got = {x["doc_id"]: x for x in mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()}
+    sources = {}
+    for d, t, _, s, _ in data:
+        u = ((spark_hash(d, t, np.int32(17)) >> 11) + 0.5) / 2**53
+        w = (1 - len(re.findall(r"[#*$%&|<>!{}\[\]=]", t)) / len(t)) ** 2 * 0.9 + 0.1
+        e = -math.log(u) / w
+        sources.setdefault(s, []).append((e / (1 + e), d, len(words(t))))
+    for s, items in sources.items():
+        size, target = sum(x[2] for x in items), got[items[0][1]]["target"]
+        epochs, rest = divmod(target, size)
+        items.sort()
+        taken, held = {}, 0
+        for _, d, n in items:
+            if held + n > rest:
+                break
+            taken[d], held = 1, held + n
+        gap = rest - held
+        near = min(((abs(n - gap), key, d) for key, d, n in items if d not in taken and abs(n - gap) < gap), default=None)
+        if near:
+            taken[near[2]] = 1
+        assert {d: got[d]["copies"] for _, d, _ in items} == {d: epochs + taken.get(d, 0) for _, d, _ in items}
+        assert abs(sum(got[d]["taken"] for _, d, _ in items) - target) < max(n for *_, n in items) / 2 + 1
+
+
+def test_quality_scores(spark, docs):
+    """Ratios, scores and verdicts against plain counting, with a threshold that a score meets exactly."""
+    trusted = {0, 2, 8, 10}
+    ratios = quality.fit_ratios(docs, spark.createDataFrame([(k,) for k in trusted], "doc_id long"))
+
+    def cells(t):
+        w = words(t)
+        mask = quality.CELLS - 1
+        return [spark_hash(x) & mask for x in w] + [spark_hash(x, y) & mask for x, y in zip(w, [*w[1:], ""])] + [spark_hash(np.int32(2), x[-3:]) & mask for x in w]
+
+    raw = Counter(c for _, t, *_ in rows() for c in cells(t))
+    target = Counter(c for d, t, *_ in rows() if d in trusted for c in cells(t))
+    share = lambda n, total: math.log((n + 1) / (total + quality.CELLS))
+    ratio = [share(target[c], sum(target.values())) - share(raw[c], sum(raw.values())) for c in range(quality.CELLS)]
+    assert np.allclose(ratios.first()["ratios"], ratio)
+    want = Counter((d, round(sum(ratio[c] for c in cells(t)) / len(cells(t)), 6) if words(t) else None) for d, t, *_ in rows())
+    got = quality.judge(docs, ratios).collect()
+    assert Counter((x["doc_id"], None if x["score"] is None else round(x["score"], 6)) for x in got) == want
+    edge = next(round(x["score"], 9) for x in got if not x["base_failed"])
+    for x in quality.judge(docs, ratios, threshold=edge).collect():
+        assert x["kept"] == (not x["base_failed"] and round(x["score"], 9) >= edge)
+
+
 def brute_components(texts):
     def grams(t):
         w = re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -229,6 +290,43 @@ def test_decontamination_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find(held, items).collect())) == whole and len(whole) >= 30
 
 
+def test_find_against_every_passage(spark):
+    """Documents with whole, cut, changed and swapped items, null ids, repeated rows, against BM25 of every passage and item."""
+    r = np.random.default_rng(31)
+    terms = [f"t{k}" for k in range(120)]
+    texts = [" ".join(r.choice(terms, r.integers(8, 30))) + ". " + " ".join(r.choice(terms, r.integers(1, 6))) for _ in range(25)]
+    data = [(k, prose(int(r.integers(0, 90)), 800 + k) + " " + " ".join(t.split()[: int(r.integers(1, 40))]) + " " + prose(int(r.integers(0, 90)), 850 + k)) for k, t in enumerate(texts * 3)]
+    data += [(None, "x " + texts[3]), (7, data[7][1]), (900, None), (901, ""), (902, prose(40_000, 33) + " " + texts[5] + " " + prose(40_000, 34))]
+    items = [decontaminate.words(t) for t in texts]
+    mean, df = sum(map(len, items)) / len(items), Counter(w for t in items for w in set(t))
+    weight = lambda w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5))
+    impact = [{w: weight(w) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w, c in Counter(t).items()} for t in items]
+    longest, want = max(map(len, items)), Counter()
+    for d, text in data:
+        tokens = decontaminate.words(text)
+        found = set()
+        for at in range(0, len(tokens), longest):
+            passage = tokens[at : at + 2 * longest]
+            here = set(passage)
+            for k, t in enumerate(texts):
+                if sum(v for w, v in impact[k].items() if w in here) / sum(impact[k].values()) < 0.6 - 1e-9:
+                    continue
+                share = []
+                for part in decontaminate.parts(t):
+                    want_grams = decontaminate.grams(part)
+                    n = len(next(iter(want_grams))) if want_grams else 1
+                    held = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+                    share.append(len(want_grams & held) / len(want_grams) if want_grams else 1.0)
+                if min(share) >= 0.8:
+                    found.add(k)
+        want.update((d, k) for k in found)
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({n: F.lit("x") for n in ("row", "_text", "item_id", "score")})
+    table = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    assert Counter((x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, table).collect()) == want and len(want) > 25
+    clean = decontaminate.keep_clean(docs, table)
+    assert clean.columns == docs.columns and Counter(x["doc_id"] for x in clean.collect()) == Counter(d for d, _ in data if not any(d == w[0] for w in want))
+
+
 def test_search_equals_scoring_everything():
     r = np.random.default_rng(3)
     terms = [f"t{k}" for k in range(60)]
@@ -418,9 +516,9 @@ def test_scores_equal_a_plain_pass_over_windows():
 
 def test_training_learns():
     r = np.random.default_rng(4)
-    tokens = np.where(np.arange(20_000) % 3 == 0, 7, r.integers(20, 60, 20_000))
+    tokens = np.where(np.arange(60_000) % 3 == 0, 7, r.integers(20, 60, 60_000))
     v = lm_model.Vocabulary(np.bincount(tokens, minlength=100))
-    p, losses = lm_model.train(lm_model.initial(v), v, tokens, np.full(20, 1000), batch=8)
+    p, losses = lm_model.train(lm_model.initial(v), v, tokens, np.full(60, 1000), batch=8)
     assert losses[0] > 2.9 and np.mean(losses[-10:]) < 2 / 3 * math.log(40) + 0.25  # where 7 stands is learnt
 
 
@@ -487,11 +585,24 @@ def test_warc_lookup_over_blocks(spark):
     pages = [(k, f"http://{'abc'[k % 3]}.example/{k % 5 if k % 3 else ''}", f"page {k}") for k in range(3 * (warc.BLOCK_ENTRIES + 200))]
     a = warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert a.directory.count() > 3 and a.lookup(["http://nowhere.example/"]) == []
-    a.directory = None  # read once: from here on lookups bisect, and scan nothing
     for url in ("http://a.example/", "http://b.example/3", "http://c.example/0", "http://a.example/0"):
         assert [r["page_id"] for r in a.lookup([url])] == [k for k, u, _ in pages if u == url]
 
 
+def test_warc_index(spark, monkeypatch):
+    """A key with many captures, repeated rows, one long page and other columns; blocks in key order; the search finds what a scan reads."""
+    many = [(k, None if k % 3 == 0 else f"http://h{k % 7}.example/{k}", f"page {k}") for k in range(2500)] + [(9, None, "page 9"), (5000, "http://long.example/", "x" * 3_000_000)]
+    pages = spark.createDataFrame(many, "page_id long, url string, html string").withColumns({n: F.lit("x") for n in ("key", "digest", "original", "file")})
+    a = warc.write_archive(pages)
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 2)  # the directory in several parts
+    blocks = a.directory.orderBy("first", "last").collect()
+    assert len(blocks) > 2 and all(x["last"] <= y["first"] for x, y in zip(blocks, blocks[1:])) and sum(b["entries"] for b in blocks) == len(many)
+    rows = Counter((r["page_id"], r["url"], r["key"], r["payload_bytes"]) for r in a.read(payload=False).collect())
+    assert rows == Counter((i, u, warc.surt(u), len(h)) for i, u, h in many) == Counter((r["page_id"], r["url"], r["key"], r["payload_bytes"]) for r in a.scan(payload=False).collect())
+    some = spark.createDataFrame([("example,h1)/1",), ("example,h1)/1",), ("nowhere)/",), ("",)], "key string")
+    assert Counter(r["page_id"] for r in a.find(some).collect()) == Counter([1, *(i for i, u, _ in many if u is None)])
+
+
 def test_sharding(spark, docs, empty):
     many = spark.createDataFrame([(k, prose(200, k), "en", "s", 0) for k in range(300)], SCHEMA).repartition(4)
     s = sharding.shard(many, small=20_000, target=200_000)
@@ -532,3 +643,20 @@ def test_pipeline(spark, tmp_path):
         spark.createDataFrame(content, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     ids = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert set(ids) <= set(range(12)) and max(ids.values()) <= 3 and sum(ids.values()) >= 6
+
+
+def test_other_columns_of_any_name(spark, docs):
+    """Columns named like the helpers of an operator, and one very long text, change no result."""
+    long = spark.createDataFrame([(70, prose(60_000, 71) + "\n" + "z" * 200_000, "en", "a", 0)], SCHEMA)
+    plain = docs.unionAll(long)
+    names = "row key id size copies taken label words target rest component node n h rare times starts keys ends runs starts bits fill last hi lo score sig".split()
+    full = plain.withColumns({n: F.lit("x") for n in dict.fromkeys(names)})
+    same = lambda f, *columns: Counter(map(tuple, f(full).select(*columns).collect())) == Counter(map(tuple, f(plain).select(*columns).collect()))
+    assert same(mixing.mix, "doc_id", "size", "target", "taken")
+    assert mixing.mixed_rows(full).columns == full.columns
+    assert same(line_dedup.dedup_lines, "doc_id", "lines_removed", "words_removed")
+    assert same(ngram_join.join_components, "doc_id", "n_shingles", "component_id")
+    assert ngram_join.keep_one(full).columns == full.columns
+    assert same(lm_scoring.score_texts, "doc_id", "n_tokens", "n_known", "train_tokens")
+    assert same(token_counts.count_tokens, "doc_id", "n_words", "n_tokens")
+    assert sharding.placed(full).count() == plain.count()
