@@ -34,8 +34,8 @@ class Limits:
     #: Documents of a prefix n-gram that are paired one by one; those of a more frequent one are chained in the order of size.
     whole: int = 64
     #: Set members, and documents, of a block of a product.
-    block_grams: int = 1 << 18
-    block_nodes: int = 4096
+    block_grams: int = 1 << 16
+    block_nodes: int = 1024
     #: Documents of a large group that all its blocks hold, expected.
     hubs: int = 16
 
