@@ -97,8 +97,7 @@ def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", doc_id: str =
     Returns row (the input row as a struct), doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score,
     base_failed, kept. Null or empty text: all counts 0, score null, base_failed, not kept. Equal rows get equal verdicts.
     """
-    ratios.createOrReplaceTempView(view := f"quality_ratios_{id(ratios):x}")
-    lookup = F.expr(f"(SELECT ratios FROM {view})")  # one value, evaluated once: no join
+    lookup = ratios.select("ratios").scalar()  # one value, evaluated once: no join
     d = docs.select(packed(docs).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     w = d.withColumn("words", words_of(F.col("text")))
     n = F.size("words").cast("long")
