@@ -53,5 +53,11 @@ def merged_header(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("point_count").alias("point_count"), *[F.min(f"min_{c}").alias(f"min_{c}") for c in "xyz"], *[F.max(f"max_{c}").alias(f"max_{c}") for c in "xyz"])
 
 
+def reclassify(points: DataFrame, value: int = 2) -> DataFrame:
+    return points.withColumn("classification", F.lit(value).cast(points.schema["classification"].dataType))
+
+
 def catalog(files: DataFrame) -> DataFrame:
-    return files.select("file_idx", "point_count", *[F.round(f"{s}_{c}", 2).alias(f"{s}_{c}") for s in ("min", "max") for c in "xyz"])
+    """One row per file: its count and bounds to two decimals, and name, format and compression where the headers have them."""
+    known = {"path": F.regexp_extract("path", r"([^/\\]*)$", 1).alias("file_name"), "point_format": F.col("point_format"), "is_compressed": F.col("is_compressed")}
+    return files.select("file_idx", "point_count", *[F.round(f"{s}_{c}", 2).alias(f"{s}_{c}") for s in ("min", "max") for c in "xyz"], *[c for n, c in known.items() if n in files.columns])

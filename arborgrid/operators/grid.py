@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.points import Sentinels, grid_col, grid_row, inside, return_bucket, stratum
 from ..functions.stats import FIELDS, bundle_from_counts, profile_area, with_bundle
 from ..schema import GridSpec
+from . import stencil
+from .experimental import NAMES as EXPERIMENTAL
+from .experimental import experimental_metrics
 
 
 def with_cell(points: DataFrame, grid: GridSpec) -> DataFrame:
@@ -35,6 +38,12 @@ class Metrics:
     strata: tuple[float, ...] = ()
     intensity_strata: tuple[float, ...] = ()
     channel_strata: bool = False
+    #: Of which of a cell's elevations ("max" or "mean") the bands surf_area_ratio and surf_roughness are; None: no such bands.
+    surface: str | None = None
+    #: Whether the experimental metrics follow, with cells and voxels of these sizes.
+    experimental: bool = False
+    cell: float = 10.0
+    voxel: float = 20.0
 
     @property
     def cut(self) -> float:
@@ -111,7 +120,16 @@ def grid_metrics(points: DataFrame, grid: GridSpec, o: Metrics | None = None) ->
             "afabovemode": 100.0 * over("__h", "elev_mode") / first,
         }
     )
-    return g.drop("__h")
+    g = g.drop("__h")
+    if o.surface:
+        top = g.select("row", "col", F.col(f"elev_{o.surface}").alias("value"))
+        surf = stencil.surface_stats(top, grid.cell).select("row", "col", F.col("area_ratio").alias("surf_area_ratio"), F.col("roughness").alias("surf_roughness"))
+        g = g.join(surf, ["row", "col"], "left")
+    if o.experimental:
+        high = p.select("row", "col", "x", "y", F.col("h").alias("z"))
+        e = experimental_metrics(high, o.minht, o.cell, o.voxel, ["row", "col"])
+        g = g.join(e.select("row", "col", *[F.col(n).alias(f"exp_{n}") for n in EXPERIMENTAL]), ["row", "col"], "left")
+    return g
 
 
 def apply_sentinels(cells: DataFrame, s: Sentinels, skip: tuple[str, ...] = ("row", "col")) -> DataFrame:
@@ -130,11 +148,16 @@ def apply_sentinels(cells: DataFrame, s: Sentinels, skip: tuple[str, ...] = ("ro
     return cells.select(*out)
 
 
-def density_metrics(points: DataFrame, grid: GridSpec, strata: list[float]) -> DataFrame:
-    """Points per area of each stratum, of non-empty cells."""
-    p = with_cell(points, grid)
+def density_counts(points: DataFrame, grid: GridSpec, strata: list[float]) -> DataFrame:
+    """Points of each stratum, of non-empty cells: what the density tables hold."""
     k = stratum(F.col("h"), strata)
-    return p.groupBy("row", "col").agg(*[(F.count_if(k == i) / grid.cell**2).alias(f"density{i + 1:02d}") for i in range(len(strata) + 1)])
+    return with_cell(points, grid).groupBy("row", "col").agg(*[F.count_if(k == i).alias(f"stratum{i + 1:02d}_count") for i in range(len(strata) + 1)])
+
+
+def density_metrics(points: DataFrame, grid: GridSpec, strata: list[float]) -> DataFrame:
+    """Points per area of each stratum, of non-empty cells: what the density rasters hold."""
+    n = density_counts(points, grid, strata)
+    return n.select("row", "col", *[(F.col(f"stratum{i + 1:02d}_count") / grid.cell**2).alias(f"density{i + 1:02d}") for i in range(len(strata) + 1)])
 
 
 def return_density(points: DataFrame, grid: GridSpec) -> DataFrame:
@@ -153,10 +176,11 @@ def canopy_model(points: DataFrame, grid: GridSpec) -> DataFrame:
     return with_cell(points, grid).groupBy("row", "col").agg(F.max("h").alias("value"))
 
 
-def cloud_metrics(points: DataFrame, keys: list[str] | None = None, o: Metrics | None = None) -> DataFrame:
+def cloud_metrics(points: DataFrame, keys: list[str] | None = None, o: Metrics | None = None, grid: GridSpec | None = None) -> DataFrame:
     """One row per keys (or one for the cloud) with counts, cover, strata and bundles; groups may be of any size.
 
-    Every part is an aggregation that combines before its shuffle; parts of the bundle meet by key.
+    Every part is an aggregation that combines before its shuffle; parts of the bundle meet by key. With a grid and without
+    keys, o.surface adds the summary of the top surface on it, of all points.
     """
     o, keys = o or Metrics(), keys or []
     high = o.kept() & (F.col("h") >= o.minht)
@@ -165,7 +189,14 @@ def cloud_metrics(points: DataFrame, keys: list[str] | None = None, o: Metrics |
     for prefix, value in [("elev_", "h"), *([("int_", "intensity")] if o.intensity else []), *[(f"{c}_", c) for c in o.channels]]:
         b = bundle_from_counts(points.where(high), keys, value, prefix)
         base = base.join(b, keys, "left") if keys else base.join(F.broadcast(b), F.lit(True), "left")  # one row
+    if o.surface and grid and not keys:
+        surf = stencil.surface_summary(stencil.surface_stats(canopy_model(points, grid), grid.cell), grid.cell)
+        base = base.join(F.broadcast(surf.select(*[F.col(c).alias(f"surf_{c}") for c in surf.columns])), F.lit(True), "left")  # one row
+    if o.experimental:
+        e = experimental_metrics(points.drop("z").withColumnRenamed("h", "z"), o.minht, o.cell, o.voxel, keys)
+        e = e.select(*keys, *[F.col(n).alias(f"exp_{n}") for n in EXPERIMENTAL])
+        base = base.join(e, keys, "left") if keys else base.join(F.broadcast(e), F.lit(True), "left")  # one row
     return base.withColumn("elev_profile_area", profile_area())
 
 
-__all__ = ["FIELDS", "Metrics", "apply_sentinels", "canopy_model", "cloud_metrics", "dense", "density_metrics", "grid_metrics", "point_count", "return_density", "with_cell"]
+__all__ = ["FIELDS", "Metrics", "apply_sentinels", "canopy_model", "cloud_metrics", "dense", "density_counts", "density_metrics", "grid_metrics", "point_count", "return_density", "with_cell"]

@@ -54,9 +54,14 @@ def slope_aspect(raster: DataFrame, cell: float) -> DataFrame:
     return n.select("row", "col", F.degrees(F.atan(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))).alias("slope"), aspect.alias("aspect"))
 
 
+def same_shape(grid: GridSpec, reference: GridSpec) -> None:
+    if (grid.cols, grid.rows) != (reference.cols, reference.rows):
+        raise ValueError(f"the reference has {reference.cols} x {reference.rows} cells, the surface {grid.cols} x {grid.rows}")
+
+
 def surface_stats(raster: DataFrame, cell: float, reference: DataFrame | None = None) -> DataFrame:
-    """Surface area ratio, roughness and, against a reference raster, volume of every valid cell; missing neighbours count
-    as the cell itself."""
+    """Surface area ratio, roughness and, against a reference raster of the same shape (see same_shape), volume of every
+    valid cell; missing neighbours count as the cell itself."""
     n = neighbours(raster)
     z = [F.coalesce(f"z{k}", "z5") for k in range(1, 10)]
     dx, dy = _horn(z, cell)
@@ -86,22 +91,27 @@ def window_radius(h: Column, a: float, b: float, cell: float) -> Column:
     return F.greatest(F.lit(1), F.round((a + b * h) / cell).cast("int"))
 
 
-def tree_tops(chm: DataFrame, grid: GridSpec, minht: float, a: float, b: float) -> DataFrame:
+def highest(chm: DataFrame, cell: float, minht: float, a: float, b: float) -> DataFrame:
     """Pixels of at least minht that are higher than every other in a square window that grows with their height.
 
-    A first pass with 3 x 3 neighbours drops almost all pixels; only those left look farther. Ids count in row-major order.
+    A first pass with 3 x 3 neighbours drops almost all pixels; only those left look farther. Columns row, col, h.
     """
     v = chm.where("value is not null")
     near = neighbours(v)
     ring = F.greatest(*[F.coalesce(f"z{k}", F.lit(-math.inf)) for k in (1, 2, 3, 4, 6, 7, 8, 9)])
     seeds = near.where((F.col("z5") >= minht) & (F.col("z5") > ring)).select("row", "col", F.col("z5").alias("h"))
-    seeds = seeds.withColumn("r", window_radius(F.col("h"), a, b, grid.cell))
+    seeds = seeds.withColumn("r", window_radius(F.col("h"), a, b, cell))
     far = seeds.where("r > 1").withColumn("nr", F.explode(F.expr("sequence(row - r, row + r)"))).withColumn("nc", F.explode(F.expr("sequence(col - r, col + r)")))
     other = v.select(F.col("row").alias("nr"), F.col("col").alias("nc"), "value")
     beaten = far.join(other, ["nr", "nc"]).where("value >= h and (nr <> row or nc <> col)").select("row", "col").distinct()
-    tops = seeds.join(beaten, ["row", "col"], "left_anti")
-    tops = numbered(tops, ["row", "col"], "tree_id", 1).withColumn("tree_id", F.col("tree_id").cast("int"))
-    return tops.select("tree_id", "row", "col", grid.centre_x(F.col("col")).alias("x"), grid.centre_y(F.col("row")).alias("y"), F.col("h").alias("height"), (2.0 * (a + b * F.col("h"))).alias("crown_diameter"))
+    return seeds.join(beaten, ["row", "col"], "left_anti").select("row", "col", "h")
+
+
+def tree_tops(chm: DataFrame, grid: GridSpec, minht: float, a: float, b: float) -> DataFrame:
+    """The pixels that highest() finds, as trees. Ids count in row-major order."""
+    tops = numbered(highest(chm, grid.cell, minht, a, b), ["row", "col"], "tree_id", 1)
+    crown = (2.0 * (a + b * F.col("h"))).alias("crown_diameter")
+    return tops.select(F.col("tree_id").cast("int").alias("tree_id"), "row", "col", grid.centre_x(F.col("col")).alias("x"), grid.centre_y(F.col("row")).alias("y"), F.col("h").alias("height"), crown)
 
 
 def crop(raster: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,6 @@ from ..schema import GridSpec
 from . import testcloud
 
 CELL, MINHT = 10.0, 2.0
-#: Above interpolated ground, where heights of exactly MINHT would hang on the last bit.
-MINHT_GROUND = 2.003
 STRATA = [5.0, 15.0, 30.0]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,14 +78,8 @@ def area_sql(prefix: str = "elev_") -> str:
     return " + ".join(f"({RANKS[k + 1]} - {RANKS[k]}) * (({p[k]} + {p[k + 1]}) / 2 - {prefix}min)" for k in range(len(RANKS) - 1))
 
 
-#: Columns whose values often lie half-way between two 6-digit numbers: both engines move them off the tie.
-_TIES = re.compile(r"profile_area$|^strata\d+_mean$")
-OFF_TIE = 3e-9
-
-
 def rounded(df: DataFrame) -> DataFrame:
-    move = lambda c: F.col(c) + OFF_TIE if _TIES.search(c) else F.col(c)
-    return df.select(*[F.round(move(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def rounded_sql(columns: list[str]) -> str:
@@ -127,7 +118,7 @@ def raw_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYS = ["k1", "k2", "k3", "k4", "k5", "k6"]
 SHOWN = ["x", "y", "z", "classification", "return_number", *KEYS]
-SHOWN_SQL = ", ".join(SHOWN)
+SHOWN_SQL = ", ".join(SHOWN).replace("z,", "round(z, 6) AS z,", 1)
 
 # ---------------------------------------------------------------- filters
 
@@ -171,7 +162,7 @@ def _(s, d):
 TWO = f"{PTS}, ev AS ({testcloud.EVENT_SQL})"
 
 
-@query("union_clouds", f"WITH {TWO} SELECT 0 AS file_idx, x, y, z FROM pts UNION ALL SELECT 1, x, y, z FROM ev")
+@query("union_clouds", f"WITH {TWO} SELECT 0 AS file_idx, x, y, round(z, 6) AS z FROM pts UNION ALL SELECT 1, x, y, round(z, 6) FROM ev")
 def _(s, d):
     return filters.union_clouds([testcloud.points(s, d).select("x", "y", "z"), testcloud.events(s, d).select("x", "y", "z")]).select("file_idx", "x", "y", "z")
 
@@ -184,7 +175,7 @@ def _(s, d):
     return filters.catalog(filters.headers(filters.union_clouds([testcloud.points(s, d).select("x", "y", "z"), testcloud.events(s, d).select("x", "y", "z")])))
 
 
-@query("merged_header", f"WITH {TWO}, u AS (SELECT x, y, z FROM pts UNION ALL SELECT x, y, z FROM ev) SELECT count(*) AS point_count, {', '.join(f'{f}({c}) AS {f}_{c}' for f in ('min', 'max') for c in 'xyz')} FROM u")
+@query("merged_header", f"WITH {TWO}, u AS (SELECT x, y, z FROM pts UNION ALL SELECT x, y, z FROM ev) SELECT count(*) AS point_count, {', '.join(f'round({f}({c}), 6) AS {f}_{c}' for f in ('min', 'max') for c in 'xyz')} FROM u")
 def _(s, d):
     return filters.merged_header(filters.headers(filters.union_clouds([testcloud.points(s, d).select("x", "y", "z"), testcloud.events(s, d).select("x", "y", "z")])))
 
@@ -215,7 +206,7 @@ _FULL_SQL = f"""WITH {RAW}, a AS (SELECT row, col, {_COUNTS} FROM cells GROUP BY
  {bundle_sql(f'(SELECT * FROM cells WHERE h >= {MINHT})', 'row, col', 'h', 'elev_')},
  {bundle_sql(f'(SELECT * FROM cells WHERE h >= {MINHT})', 'row, col', 'intensity', 'int_')},
  b AS (SELECT c.row, c.col, count(*) FILTER (h >= {MINHT} AND h > elev_mean) am, count(*) FILTER (h >= {MINHT} AND h > elev_mode) ao FROM cells c JOIN elev_bundle e ON c.row = e.row AND c.col = e.col GROUP BY c.row, c.col)
- SELECT row, col, {rounded_sql(FULL)}, round({area_sql()} + {OFF_TIE}, 6) AS elev_profile_area, total_returns, first_returns,
+ SELECT row, col, {rounded_sql(FULL)}, round({area_sql()}, 6) AS elev_profile_area, total_returns, first_returns,
  round(100.0 * am / total_returns, 6) AS allabovemean, round(100.0 * ao / total_returns, 6) AS allabovemode, round(100.0 * am / nullif(first_returns, 0), 6) AS afabovemean, round(100.0 * ao / nullif(first_returns, 0), 6) AS afabovemode
  FROM a LEFT JOIN elev_bundle USING (row, col) LEFT JOIN int_bundle USING (row, col) LEFT JOIN b USING (row, col)"""
 
@@ -228,12 +219,12 @@ def _(s, d):
 
 @query(
     "height_normalised_grid",
-    f"""WITH {KEPT}, {BOX}, {ground_sql('kept')}, {cells_sql('high')}, a AS (SELECT row, col, {_COUNTS.replace(f'h >= {MINHT}', f'h >= {MINHT_GROUND}')} FROM cells GROUP BY row, col),
- {bundle_sql(f'(SELECT * FROM cells WHERE h >= {MINHT_GROUND})', 'row, col', 'h', 'elev_')}
+    f"""WITH {KEPT}, {BOX}, {ground_sql('kept')}, {cells_sql('high')}, a AS (SELECT row, col, {_COUNTS.replace(f'h >= {MINHT}', f'h >= {MINHT}')} FROM cells GROUP BY row, col),
+ {bundle_sql(f'(SELECT * FROM cells WHERE h >= {MINHT})', 'row, col', 'h', 'elev_')}
  SELECT row, col, {rounded_sql([c for c in COVER if c not in ('total_returns', 'first_returns')])}, total_returns, first_returns, {rounded_sql(BASIC)} FROM a LEFT JOIN elev_bundle USING (row, col)""",
 )
 def _(s, d):
-    o = grid.Metrics(minht=MINHT_GROUND, intensity=False)
+    o = grid.Metrics(minht=MINHT, intensity=False)
     return grid.grid_metrics(above_ground(s, d, cloud(s, d)), on_grid(s, d), o).select("row", "col", *COVER, *BASIC)
 
 
@@ -286,7 +277,7 @@ def strata_sql(value: str, bounds: list[float], name: str, counts: bool, density
             out += [f"count(*) {f} AS {n}count", f"round(count(*) {f} / count(*)::DOUBLE, 6) AS {n}proportion"]
         if density:
             out.append(f"round(count(*) {f} / {CELL * CELL}, 6) AS {n}density")
-        out += [f"round(avg({value}) {f}{f' + {OFF_TIE}' if name == 'strata' else ''}, 6) AS {n}mean", f"round(stddev_pop({value}) {f}, 6) AS {n}stddev", f"round(CAST(min({value}) {f} AS DOUBLE), 6) AS {n}min", f"round(CAST(max({value}) {f} AS DOUBLE), 6) AS {n}max"]
+        out += [f"round(avg({value}) {f}{f'' if name == 'strata' else ''}, 6) AS {n}mean", f"round(stddev_pop({value}) {f}, 6) AS {n}stddev", f"round(CAST(min({value}) {f} AS DOUBLE), 6) AS {n}min", f"round(CAST(max({value}) {f} AS DOUBLE), 6) AS {n}max"]
     return ", ".join(out)
 
 
@@ -396,12 +387,12 @@ ELEV = [f"elev_{f}" for f in FIELDS]
 
 @query(
     "cloud_metrics",
-    f"""WITH {KEPT}, {BOX}, {ground_sql('kept')}, {bundle_sql(f'(SELECT * FROM high WHERE h >= {MINHT_GROUND})', '', 'h', 'elev_')}, {bundle_sql(f'(SELECT * FROM high WHERE h >= {MINHT_GROUND})', '', 'intensity', 'int_')},
- a AS (SELECT count(*) total_points, count(*) FILTER (h >= {MINHT_GROUND}) canopy_points, 100.0 * count(*) FILTER (h >= {MINHT_GROUND}) / count(*) canopy_cover_pct FROM high)
- SELECT total_points, canopy_points, round(canopy_cover_pct, 6) AS canopy_cover_pct, {rounded_sql(FULL)}, round({area_sql()} + {OFF_TIE}, 6) AS elev_profile_area FROM a, elev_bundle, int_bundle""",
+    f"""WITH {KEPT}, {BOX}, {ground_sql('kept')}, {bundle_sql(f'(SELECT * FROM high WHERE h >= {MINHT})', '', 'h', 'elev_')}, {bundle_sql(f'(SELECT * FROM high WHERE h >= {MINHT})', '', 'intensity', 'int_')},
+ a AS (SELECT count(*) total_points, count(*) FILTER (h >= {MINHT}) canopy_points, 100.0 * count(*) FILTER (h >= {MINHT}) / count(*) canopy_cover_pct FROM high)
+ SELECT total_points, canopy_points, round(canopy_cover_pct, 6) AS canopy_cover_pct, {rounded_sql(FULL)}, round({area_sql()}, 6) AS elev_profile_area FROM a, elev_bundle, int_bundle""",
 )
 def _(s, d):
-    return grid.cloud_metrics(above_ground(s, d, cloud(s, d)), None, grid.Metrics(minht=MINHT_GROUND)).select(*CLOUD, *FULL, "elev_profile_area")
+    return grid.cloud_metrics(above_ground(s, d, cloud(s, d)), None, grid.Metrics(minht=MINHT)).select(*CLOUD, *FULL, "elev_profile_area")
 
 
 _LABELS = ", ".join(f"({k}, '{label}')" for k, (label, *_) in enumerate(testcloud.POLYGONS))
@@ -635,10 +626,147 @@ def _(s, d):
     return out["canopymaxima"].select("tree_id", "row", "col", "height")
 
 
-@query("surface_as_points", f"WITH {CHM}, p AS (SELECT x0 + (col + 0.5) * 2.0 AS x, y1 - (row + 0.5) * 2.0 AS y, value AS z FROM chm, box) SELECT CAST(floor((x - x0) / {CELL}) AS INT) col, CAST(floor((y1 - y) / {CELL}) AS INT) row, count(*) total_returns, round(max(z), 6) elev_max, round(avg(z) + {OFF_TIE}, 6) AS elev_mean FROM p, box GROUP BY 1, 2")
+@query("surface_as_points", f"WITH {CHM}, p AS (SELECT x0 + (col + 0.5) * 2.0 AS x, y1 - (row + 0.5) * 2.0 AS y, value AS z FROM chm, box) SELECT CAST(floor((x - x0) / {CELL}) AS INT) col, CAST(floor((y1 - y) / {CELL}) AS INT) row, count(*) total_returns, round(max(z), 6) elev_max, round(avg(z), 6) AS elev_mean FROM p, box GROUP BY 1, 2")
 def _(s, d):
     from ..sources.rasters import as_points
 
     c, g = chm(s, d)
     m = grid.grid_metrics(as_points(c, g).withColumn("h", F.col("z")), on_grid(s, d), grid.Metrics(minht=0.0, intensity=False))
-    return m.select("row", "col", "total_returns", "elev_max", (F.col("elev_mean") + OFF_TIE).alias("elev_mean"))
+    return m.select("row", "col", "total_returns", "elev_max", "elev_mean")
+
+
+# ---------------------------------------------------------------- ground with gaps, slopes, nearest cells
+
+_G5 = f"{KEPT}, {BOX}, gd AS (SELECT x0, y1, greatest(1, CAST(ceil((x1 - x0) / 5.0) AS INT)) gc, greatest(1, CAST(ceil((y1 - y0) / 5.0) AS INT)) gr FROM box)"
+_HOLED = f"""{_G5}, gv AS (SELECT r.i AS row, c.i AS col, 0.02 * (x0 + (c.i + 0.5) * 5.0) + 0.01 * (y1 - (r.i + 0.5) * 5.0) AS v FROM gd, range(CAST(gr AS BIGINT)) r(i), range(CAST(gc AS BIGINT)) c(i) WHERE (r.i * 3 + c.i) % 7 > 1),
+ pc AS (SELECT k.*, (x - gd.x0) / 5.0 AS cd, (gd.y1 - y) / 5.0 AS rd, gc, gr FROM kept k, gd)"""
+_AT = lambda c, r: f"(SELECT max(v) FROM gv WHERE gv.col = greatest(0, least({c}, gc - 1)) AND gv.row = greatest(0, least({r}, gr - 1)))"
+
+
+def _holed(s: SparkSession, d: str) -> tuple[DataFrame, GridSpec]:
+    g = on_grid(s, d, 5.0)
+    return testcloud.ground(s, g).where("(row * 3 + col) % 7 > 1"), g
+
+
+@query(
+    "ground_with_holes",
+    f"""WITH {_HOLED}, q AS (SELECT *, CAST(floor(cd - 0.5) AS INT) c0, CAST(floor(rd - 0.5) AS INT) r0, greatest(0, least(1, cd - 0.5 - floor(cd - 0.5))) tx, greatest(0, least(1, rd - 0.5 - floor(rd - 0.5))) ty FROM pc),
+ f AS (SELECT *, {_AT('c0', 'r0')} v00, {_AT('c0 + 1', 'r0')} v10, {_AT('c0', 'r0 + 1')} v01, {_AT('c0 + 1', 'r0 + 1')} v11, {_AT('CAST(round(cd) AS INT)', 'CAST(round(rd) AS INT)')} near, {_AT('CAST(floor(cd) AS INT)', 'CAST(floor(rd) AS INT)')} own FROM q)
+ SELECT {SHOWN_SQL}, round(coalesce((1 - ty) * ((1 - tx) * v00 + tx * v10) + ty * ((1 - tx) * v01 + tx * v11), near, v00, v10, v01, v11, own), 6) AS ground FROM f""",
+)
+def _(s, d):
+    return ground.sample_bilinear(cloud(s, d), *_holed(s, d)).select(*SHOWN, "ground")
+
+
+@query("ground_nearest", f"WITH {_HOLED} SELECT {SHOWN_SQL}, round({_AT('CAST(floor(cd) AS INT)', 'CAST(floor(rd) AS INT)')}, 6) AS ground FROM pc")
+def _(s, d):
+    return ground.sample_nearest(cloud(s, d), *_holed(s, d)).select(*SHOWN, "ground")
+
+
+def _plane(x: str, y: str) -> str:
+    return f"(0.02 * least(greatest({x}, x0 + 2.5), x0 + (gc - 0.5) * 5.0) + 0.01 * least(greatest({y}, y1 - (gr - 0.5) * 5.0), y1 - 2.5))"
+
+
+@query(
+    "slope_normal_canopy",
+    f"""WITH {_G5}, n AS (SELECT k.*, z - {_plane('x', 'y')} AS v, ({_plane('x + 5', 'y')} - {_plane('x - 5', 'y')}) / 10 AS a, ({_plane('x', 'y + 5')} - {_plane('x', 'y - 5')}) / 10 AS b FROM kept k, gd), hs AS (SELECT *, v / sqrt(1 + a * a + b * b) AS h FROM n),
+ {cells_sql('hs')} SELECT row, col, round(max(h), 6) AS value FROM cells GROUP BY row, col""",
+)
+def _(s, d):
+    g = on_grid(s, d, 5.0)
+    return grid.canopy_model(ground.slope_normal_heights(cloud(s, d), testcloud.ground(s, g), g), on_grid(s, d))
+
+
+_MODEL = f"{KEPT}, {BOX}, {cells_sql('(SELECT * FROM kept WHERE classification = 2 AND (x < 30 OR y > 70))')}, allcells AS (SELECT r.i AS row, c.i AS col FROM dims, range(CAST(nr AS BIGINT)) r(i), range(CAST(nc AS BIGINT)) c(i)), holes AS (SELECT row, col, avg(z) AS value FROM cells GROUP BY row, col)"
+
+
+@query("ground_model", f"WITH {_MODEL}, {_sweeps(12)} SELECT CAST(row AS INT) row, CAST(col AS INT) col, round(value, 6) AS value FROM w11")
+def _(s, d):
+    return iterate.ground_model(cloud(s, d).where("classification = 2 and (x < 30 or y > 70)"), on_grid(s, d))
+
+
+@query("reclassify", f"WITH {KEPT} SELECT {SHOWN_SQL.replace('classification', '2 AS classification')} FROM kept WHERE classification = 5")
+def _(s, d):
+    return filters.reclassify(cloud(s, d).where("classification = 5")).select(*SHOWN)
+
+
+# ---------------------------------------------------------------- wider bundles
+
+_COUNTS = ", ".join(f"count(*) FILTER ({w}) AS stratum{k + 1:02d}_count" for k, w in enumerate(("h < 5", "h >= 5 AND h < 15", "h >= 15 AND h < 30", "h >= 30")))
+
+
+@query("density_counts", f"WITH {RAW} SELECT row, col, {_COUNTS} FROM cells GROUP BY row, col")
+def _(s, d):
+    return grid.density_counts(raw_heights(s, d), on_grid(s, d), STRATA)
+
+
+_TEN = lambda text: text.replace("8.0 * 2.0", f"8.0 * {CELL}")
+_MEANS = f"{RAW}, chm AS (SELECT row, col, avg(h) AS value FROM cells WHERE h >= {MINHT} GROUP BY row, col)"
+_RAW9 = f"raw9 AS (SELECT c.row, c.col, {_TEN(_horn_sql(_Z))}, [{', '.join(_Z(k) for k in range(1, 10))}] AS zs {_nine('chm')})"
+
+
+@query(
+    "grid_surface_bands",
+    f"""WITH {_MEANS}, {_RAW9}, n AS (SELECT row, col, count(*) AS total_returns FROM cells GROUP BY row, col)
+ SELECT row, col, total_returns, round(1.0 / cos(atan(sqrt(dx*dx + dy*dy))), 6) AS surf_area_ratio, round(sqrt(list_sum([pow(v - list_sum(zs) / 9.0, 2) for v in zs]) / 9.0), 6) AS surf_roughness FROM n LEFT JOIN raw9 USING (row, col)""",
+)
+def _(s, d):
+    m = grid.grid_metrics(raw_heights(s, d), on_grid(s, d), grid.Metrics(minht=MINHT, intensity=False, surface="mean"))
+    return m.select("row", "col", "total_returns", "surf_area_ratio", "surf_roughness")
+
+
+@query(
+    "grid_experimental",
+    f"""WITH {RAW}, a AS (SELECT row, col, count(*) n, max(x) hx, min(x) lx, max(h) ah, count(DISTINCT [floor(x / 20), floor(y / 20), floor(h / 20)]) * 8000.0 av FROM cells GROUP BY row, col),
+ c AS (SELECT row, col, max(h) ch, min(x) clx, max(x) chx, avg(sqrt(x*x + y*y)) cr, count(DISTINCT [floor(x / 20), floor(y / 20), floor(h / 20)]) * 8000.0 cv FROM cells WHERE h >= 20 GROUP BY row, col)
+ SELECT row, col, round(coalesce(100 * ch / ah, -9999)::DOUBLE, 6) AS exp_zMaxRat, round(coalesce(clx, -9999)::DOUBLE, 6) AS exp_xMin, round(coalesce(CASE WHEN hx > lx THEN 100 * (chx - clx) / (hx - lx) END, -9999)::DOUBLE, 6) AS exp_xRatHt,
+ round(coalesce(cr, -9999)::DOUBLE, 6) AS exp_xyMnRt, round(av::DOUBLE, 6) AS exp_voxVolAll, round(coalesce(cv, 0)::DOUBLE, 6) AS exp_voxVol FROM a LEFT JOIN c USING (row, col)""",
+)
+def _(s, d):
+    m = grid.grid_metrics(raw_heights(s, d), on_grid(s, d), grid.Metrics(minht=20.0, intensity=False, experimental=True))
+    return m.select("row", "col", *[f"exp_{n}" for n in ("zMaxRat", "xMin", "xRatHt", "xyMnRt", "voxVolAll", "voxVol")])
+
+
+@query(
+    "cloud_surface_and_experimental",
+    f"""WITH {RAW}, chm AS (SELECT row, col, max(h) AS value FROM cells GROUP BY row, col), {_RAW9}, s AS (SELECT count(*) * 100.0 AS planar, sum(1.0 / cos(atan(sqrt(dx*dx + dy*dy)))) * 100.0 AS area3, avg(sqrt(list_sum([pow(v - list_sum(zs) / 9.0, 2) for v in zs]) / 9.0)) AS rough FROM raw9),
+ e AS (SELECT count(*) AS total_points, 100.0 * max(h) FILTER (h >= 20) / max(h) AS zmax, (SELECT count(*) * 8000.0 FROM (SELECT DISTINCT floor(x / 20), floor(y / 20), floor(h / 20) FROM cells WHERE h >= 20)) AS vox FROM cells)
+ SELECT total_points, round(planar::DOUBLE, 6) AS surf_planimetric_area, round(area3, 6) AS surf_surface_area_3d, round(rough, 6) AS surf_roughness_mean, round(zmax::DOUBLE, 6) AS exp_zMaxRat, round(vox::DOUBLE, 6) AS exp_voxVol FROM s, e""",
+)
+def _(s, d):
+    g = on_grid(s, d)
+    m = grid.cloud_metrics(raw_heights(s, d), None, grid.Metrics(minht=20.0, intensity=False, surface="max", experimental=True), g)
+    return m.select("total_points", "surf_planimetric_area", "surf_surface_area_3d", "surf_roughness_mean", "exp_zMaxRat", "exp_voxVol")
+
+
+# ---------------------------------------------------------------- chains by tile
+
+_BUFFERED = f"""{_SNAP}, b AS (SELECT CAST(tx.i * ny + ty.i AS INT) AS tile, x, y, z, px0 + tx.i * 40 AS cx0, least(px1, px0 + (tx.i + 1) * 40) AS cx1, py0 + ty.i * 40 AS cy0, least(py1, py0 + (ty.i + 1) * 40) AS cy1, px1, py1 FROM kept, grd, range(nx) tx(i), range(ny) ty(i)),
+ bt AS (SELECT * FROM b WHERE x BETWEEN cx0 - 10 AND cx1 + 10 AND y BETWEEN cy0 - 10 AND cy1 + 10),
+ tc AS (SELECT tile, cx0, cx1, cy0, cy1, px1, py1, CAST(least(floor((x - cx0 + 10) / 4.0), ceil((cx1 - cx0 + 20) / 4.0) - 1) AS INT) AS col, CAST(least(floor((cy1 + 10 - y) / 4.0), ceil((cy1 - cy0 + 20) / 4.0) - 1) AS INT) AS row, max(z) AS value FROM bt GROUP BY ALL)"""
+
+
+@query(
+    "pipeline_tiled_tops",
+    f"""WITH {_BUFFERED}, r AS (SELECT *, greatest(1, CAST(round((1.0 + 0.1 * value) / 4.0) AS INT)) rad FROM tc WHERE value >= 20),
+ tops AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM tc o WHERE o.tile = r.tile AND o.row BETWEEN r.row - rad AND r.row + rad AND o.col BETWEEN r.col - rad AND r.col + rad AND (o.row <> r.row OR o.col <> r.col) AND o.value >= r.value)),
+ named AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY row, col) AS n, cx0 - 10 + (col + 0.5) * 4.0 AS x, cy1 + 10 - (row + 0.5) * 4.0 AS y FROM tops)
+ SELECT 'tile_' || lpad(tile::VARCHAR, 4, '0') || '_' || n AS tree_id, x, y, round(value, 6) AS height, round(2 * (1.0 + 0.1 * value), 6) AS crown_diameter FROM named WHERE x >= cx0 AND (x < cx1 OR cx1 >= px1) AND y >= cy0 AND (y < cy1 OR cy1 >= py1)""",
+)
+def _(s, d):
+    return tiles.tiled_tops(raw_heights(s, d), _project(s, d), 4.0, 20.0, 1.0, 0.1)
+
+
+@query(
+    "pipeline_tiled_crowns",
+    f"""WITH RECURSIVE {_BUFFERED}, px AS (SELECT tile, row, col, value, tile * 100000000 + row * 10000 + col AS id FROM (SELECT tile, row, col, floor(value / 5) * 5 AS value FROM tc) WHERE value >= 10),
+ off(dr, dc, k) AS (VALUES (-1, 0, 0), (1, 0, 1), (0, -1, 2), (0, 1, 3), (-1, -1, 4), (-1, 1, 5), (1, -1, 6), (1, 1, 7)),
+ link AS (SELECT id, nid FROM (SELECT p.id, n.id AS nid, row_number() OVER (PARTITION BY p.id ORDER BY n.value DESC, k) rk FROM px p, off JOIN px n ON n.tile = p.tile AND n.row = p.row + dr AND n.col = p.col + dc WHERE n.value > p.value OR (n.value = p.value AND n.id < p.id)) WHERE rk = 1),
+ walk AS (SELECT id AS root, id FROM px WHERE id NOT IN (SELECT id FROM link) UNION ALL SELECT w.root, l.id FROM walk w JOIN link l ON l.nid = w.id),
+ trees AS (SELECT id AS root, tile, row_number() OVER (PARTITION BY tile ORDER BY value DESC, row, col) AS n FROM px WHERE id NOT IN (SELECT id FROM link))
+ SELECT 'tile_' || lpad(trees.tile::VARCHAR, 4, '0') || '_' || n AS tree_id, max(value) AS max_height, count(*) * 16.0::DOUBLE AS crown_area, count(*) AS pixel_count FROM px JOIN walk USING (id) JOIN trees USING (root) GROUP BY trees.tile, n""",
+)
+def _(s, d):
+    # heights in steps, so that plateaus occur; a cell's largest step is the step of its largest height
+    p = raw_heights(s, d).withColumn("h", F.floor(F.col("h") / 5).cast("double") * 5)
+    return tiles.tiled_crowns(p, _project(s, d), 4.0, 10.0)[1]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..schema import GridSpec
 
-#: Point columns as SQL that both engines read alike.
+#: Point columns as SQL that both engines read alike. Heights have a prime denominator, so that no statistic of them lies half-way
+#: between two rounded numbers.
 POINT_SQL = """
-SELECT CAST(l_partkey AS DOUBLE) / 20 AS x, CAST(l_suppkey AS DOUBLE) AS y, CAST(l_quantity + l_discount AS DOUBLE) AS z,
+SELECT CAST(l_partkey AS DOUBLE) / 20 AS x, CAST(l_suppkey AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) + CAST(l_partkey % 1009 + 1 AS DOUBLE) / 1013 AS z,
  CAST(floor(l_extendedprice / 10) AS INT) AS intensity, CAST(l_linenumber AS INT) AS return_number,
  CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) AS INT) AS number_of_returns,
  CASE WHEN l_suppkey % 40 = 7 THEN 7 WHEN l_partkey % 97 = 0 THEN 18 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 5 ELSE 1 END AS classification,

@@ -135,16 +135,16 @@ def test_ground_under_canopy(spark):
     assert share[True] > 0.98 and share[False] == 0.0
 
 
-def test_chains_and_state(tmp_path):
+def test_chains_and_state(spark, tmp_path):
     for good in ("canopymodel,canopymaxima,treeseg", "canopymodel,canopymaxima", "groundfilter,canopymodel,treeseg"):
         pipeline.validate(good.split(","))
     for bad in (["canopymaxima"], ["filterdata", "treeseg"], ["nothing"], []):
         with pytest.raises(ValueError):
             pipeline.validate(bad)
-    s = pipeline.State(str(tmp_path / "state.csv"))
+    s = pipeline.State(pipeline.Store(spark), str(tmp_path / "state.csv"))
     for t in ("tile_0010", "tile_0002", "tile_10000", "tile_0001", "tile_9999"):
         s.put(t, "canopymodel", "failed" if t == "tile_0002" else "done", str(tmp_path), 0, 0.0)
-    again = pipeline.State(str(tmp_path / "state.csv"))
+    again = pipeline.State(pipeline.Store(spark), str(tmp_path / "state.csv"))
     assert [t for t, _ in again.tiles_in_order()] == ["tile_0001", "tile_0002", "tile_0010", "tile_9999", "tile_10000"]
     assert again.failed() == {"tile_0002"} and again.done("tile_0001", "canopymodel")
 
