@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborgrid.llm import decontaminate, mixing, ngram_join, quality, sharding
-from arborgrid.llm.common import materialise, table
+from arborgrid.llm.common import materialise, release, table
 
 #: Near duplicates: so many words of an n-gram, and so many hundredths of the n-grams in common. op5 has its own.
 WIDTH, PERCENT = 5, 80
@@ -45,8 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(before)  # one stage's documents are kept at a time
+    return STAGES[-1][1](spark, docs, sf_dir)
