@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LEFT: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which the cluster shares. Where that is unset, as in tests, a
     local master gets /tmp/checkpoints; any other is an error, since its executors would not see each other's files."""
@@ -15,7 +20,17 @@ def scratch_dir(spark: SparkSession) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _LEFT:
+        _LEFT.add(folder)
+        atexit.register(_leave, spark, folder)
+    return folder
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    """What results still read when the driver ends goes with it; after a crash the folder's name tells the application."""
+    with contextlib.suppress(Exception):
+        drop_folder(spark, folder)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
