@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 
 import numpy as np
 
@@ -23,7 +25,7 @@ def encoder(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return (lambda word: own.encode_ordinary(" " + word.decode("utf-8", "replace"))), max(ranks.values()) + 1
+    return (lambda word: own._encode_single_piece(b" " + word)), max(ranks.values()) + 1  # a word is one piece: nothing to split by pattern
 
 
 class Vocabulary:
@@ -71,6 +73,15 @@ def initial(v: Vocabulary, seed: int = 5) -> Params:
     }
 
 
+def keep_memory() -> None:
+    """Let this process keep freed arrays, up to 256 MB: asking the system for fresh pages for each array of each step costs
+    more than the sums do. Only where the C library has the call; results do not depend on it."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 64 << 20)  # fixed values: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
+        library.mallopt(-1, 256 << 20)
+
+
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -129,7 +140,8 @@ def _states(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     x = p["embed"].take(x_ids, axis=0)
     x += p["place"]
     flat = x.reshape(-1, WIDTH)
-    q, k, v = (np.matmul(flat, w).reshape(x.shape) for w in (p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]))
+    three = flat @ np.concatenate([p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]], 1)
+    q, k, v = (np.ascontiguousarray(three[:, j : j + WIDTH]).reshape(x.shape) for j in range(0, 3 * WIDTH, WIDTH))
     s = np.matmul(q, k.transpose(0, 2, 1))
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)

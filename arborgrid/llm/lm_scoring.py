@@ -131,6 +131,7 @@ def _fitted(end: int, sent, seed: int):
     """Train on this task's documents from the common weights; return the weights times the tokens seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        M.keep_memory()
         v = M.Vocabulary(sent.value["counts"])
         p, seen, texts, held = M.unpacked_params(sent.value["params"], v), 0, [], 0
 
@@ -219,6 +220,7 @@ class _Lexicon(dict):
 
 def _score(path: str, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        M.keep_memory()
         g = sent.value
         vocabulary = M.Vocabulary(g["model"]["counts"])
         p, n, v, end_count = M.unpacked_params(g["model"]["params"], vocabulary), g["n"], g["v"], g["ends"]
