@@ -135,6 +135,28 @@ def test_ground_under_canopy(spark):
     assert share[True] > 0.98 and share[False] == 0.0
 
 
+def test_ground_fills_only_where_points_lie(spark, monkeypatch):
+    """Cells 0 to 2 and 299 of a row hold one point each. After the first pass no weight reaches cell 0, which takes the level of
+    cell 1; the 296 cells without points cost no sweep."""
+    swept = []
+    whole = iterate.materialise
+    monkeypatch.setattr(iterate, "materialise", lambda df, what: swept.append(what) or whole(df, what))
+    df = spark.createDataFrame([(0, 5.0, 5.0, 10.0), (1, 15.0, 5.0, 8.0), (2, 25.0, 5.0, 0.0), (3, 2995.0, 5.0, 0.0)], "ord int, x double, y double, z double")
+    out = iterate.classify_ground(df, 10.0, iterations=1, coarse=0.0).orderBy("ord").collect()
+    assert [r["is_ground"] for r in out] == [False, False, True, True]
+    assert swept.count("fill") == 2  # the seeds and one ring
+
+
+def test_fill_of_wanted_cells(spark):
+    rng = np.random.default_rng(5)
+    z = np.where(rng.random((12, 15)) < 0.06, rng.random((12, 15)), np.nan)
+    whole = array(iterate.fill_empty(raster(spark, z), 15, 12), (12, 15))
+    wanted = spark.createDataFrame([(int(r), int(c)) for r, c in np.argwhere(np.isnan(z))[::7]], "row int, col int")
+    some = array(iterate.fill_empty(raster(spark, z), 15, 12, wanted), (12, 15))
+    for r, c in wanted.collect():
+        assert some[r, c] == pytest.approx(whole[r, c], abs=1e-12)
+
+
 def test_chains_and_state(spark, tmp_path):
     for good in ("canopymodel,canopymaxima,treeseg", "canopymodel,canopymaxima", "groundfilter,canopymodel,treeseg"):
         pipeline.validate(good.split(","))
