@@ -25,7 +25,8 @@ def encoder(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return (lambda word: own._encode_single_piece(b" " + word)), max(ranks.values()) + 1  # a word is one piece: nothing to split by pattern
+    piece = own._core_bpe.encode_single_piece
+    return (lambda word: piece(b" " + word)), max(ranks.values()) + 1  # a word is one piece: nothing to split by pattern
 
 
 class Vocabulary:
@@ -91,30 +92,39 @@ class _Output:
     def __init__(self, p: Params, v: Vocabulary, most: int):
         self.p, self.v = p, v
         self.widest = max(v.classes + 1, int(np.diff(v.starts).max()))
-        self.buffer, self.ones = np.empty(most * self.widest, p["embed"].dtype), np.ones((self.widest, 1), p["embed"].dtype)
+        kind = p["embed"].dtype
+        self.buffer, self.ones, self.rows = np.empty(most * self.widest, kind), np.ones((self.widest, 1), kind), np.arange(most)
+        self.states = np.ones((most, WIDTH + 1), kind)  # the last column, always 1, meets the biases
 
-    def _exp(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _exp(self, h: np.ndarray, w: np.ndarray, at: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """exp of the scores of each row, their sum, and the own column's score."""
-        x = np.matmul(h, w, out=self.buffer[: len(h) * len(b)].reshape(len(h), len(b)))
-        x += b
-        np.clip(x, -60, 60, out=x)  # so that exp needs no maximum; far beyond what trained weights give
-        own = x[np.arange(len(x)), at]
+        n = w.shape[1]
+        x = np.matmul(h, w, out=self.buffer[: len(h) * n].reshape(len(h), n))
+        if not tame:
+            x.clip(-60, 60, out=x)  # so that exp needs no maximum; far beyond what trained weights give
+        own = x.ravel().take(self.rows[: len(h)] * n + at)
         np.exp(x, out=x)
-        return x, (x @ self.ones[: len(b)])[:, 0], own
+        return x, (x @ self.ones[:n])[:, 0], own
 
-    def __call__(self, h: np.ndarray, y: np.ndarray, gradient: Params | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """h, y sorted by the targets' classes: order, ln P and the states' gradient (of -sum ln P) if gradient is given."""
+    def __call__(self, states: np.ndarray, use: np.ndarray, y: np.ndarray, gradient: Params | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """y: the targets of the states at rows use. Their order by class, ln P and the states' gradient (of -sum ln P) if gradient is given."""
         p, v = self.p, self.v
         c = v.of[y]
         order = np.argsort(c, kind="stable")
-        h, c, y = h[order], c[order], y[order]
-        x, total, own = self._exp(h, p["cls"], p["cls_b"], c)
+        c, y = c[order], y[order]
+        h = self.states[: len(y)]
+        h[:, :-1] = states.take(use[order], axis=0)
+        cls, mem = np.vstack([p["cls"], p["cls_b"]]), np.vstack([p["mem"].T, p["mem_b"]])
+        longest = lambda a, axis: float(np.einsum("ij,ij->j" if axis else "ij,ij->i", a, a).max(initial=0)) ** 0.5
+        tame = longest(h, 0) * max(longest(cls, 1), longest(mem, 1)) < 59  # no score can reach the clip: it would change nothing
+        x, total, own = self._exp(h, cls, c, tame)
         got = own - np.log(total)
         dh = None
         if gradient is not None:
             x /= total[:, None]
-            x[np.arange(len(x)), c] -= 1
-            gradient["cls"], gradient["cls_b"] = h.T @ x, x.sum(0)
+            x.ravel()[self.rows[: len(x)] * x.shape[1] + c] -= 1
+            both = h.T @ x
+            gradient["cls"], gradient["cls_b"] = both[:-1], both[-1]
             gradient["mem"], gradient["mem_b"] = np.zeros_like(p["mem"]), np.zeros_like(p["mem_b"])
             dh = x @ p["cls"].T
         ends = np.searchsorted(c, np.arange(v.classes + 2))
@@ -123,29 +133,33 @@ class _Output:
             if a == b or e - s == 1:  # a class of one is certain
                 continue
             at = v.rank[y[a:b]] - s
-            x, total, own = self._exp(h[a:b], p["mem"][s:e].T, p["mem_b"][s:e], at)
+            x, total, own = self._exp(h[a:b], mem[:, s:e], at, tame)
             got[a:b] += own - np.log(total)
             if gradient is not None:
                 x /= total[:, None]
-                x[np.arange(b - a), at] -= 1
-                gradient["mem"][s:e], gradient["mem_b"][s:e] = x.T @ h[a:b], x.sum(0)
+                x.ravel()[self.rows[: b - a] * (e - s) + at] -= 1
+                both = x.T @ h[a:b]
+                gradient["mem"][s:e], gradient["mem_b"][s:e] = both[:, :-1], both[:, -1]
                 dh[a:b] += x @ p["mem"][s:e]
         rest = ends[v.classes]
         got[rest:] += v.tail[y[rest:]]
         return order, got, dh
 
 
-def _states(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The block's output for windows of input rows (windows, WINDOW), and what the gradient needs."""
+def _states(p: Params, x_ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
+    """The block's output for windows of input rows (windows, WINDOW), and what the gradient needs. The first skip places are
+    keys and values only: they have no output."""
     x = p["embed"].take(x_ids, axis=0)
     x += p["place"]
     flat = x.reshape(-1, WIDTH)
-    three = flat @ np.concatenate([p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]], 1)
-    q, k, v = (np.ascontiguousarray(three[:, j : j + WIDTH]).reshape(x.shape) for j in range(0, 3 * WIDTH, WIDTH))
+    three = (flat @ np.concatenate([p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]], 1)).reshape(len(x), WINDOW, 3 * WIDTH)
+    q, k, v = (np.ascontiguousarray(three[:, a:, j : j + WIDTH]) for a, j in ((skip, 0), (0, WIDTH), (0, 2 * WIDTH)))
+    if skip:
+        flat = x[:, skip:].reshape(-1, WIDTH)
     s = np.matmul(q, k.transpose(0, 2, 1))
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
-    s *= _MASK
+    s *= _MASK[skip:]
     s /= np.matmul(s, np.ones((WINDOW, 1), s.dtype))
     u = np.matmul(s, v)
     h = u.reshape(-1, WIDTH) @ p["o"]
@@ -184,16 +198,18 @@ def score(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, bat
     out = np.zeros(len(tokens), p["embed"].dtype)
     if not len(tokens):
         return out
-    before, (start, end, skip) = _before(v, tokens, lengths), windows(lengths, OVERLAP)
-    at, output = np.arange(WINDOW), _Output(p, v, batch * WINDOW)
-    for k in range(0, len(start), batch):
-        spots = start[k : k + batch, None] + at
-        last = end[k : k + batch, None]
-        use = np.flatnonzero((spots < last) & (at >= skip[k : k + batch, None]))
-        np.minimum(spots, last - 1, out=spots)  # places past a text's end are never used, nor seen by those before
-        where = spots.ravel()[use]
-        order, got, _ = output(_states(p, before[spots])[0].take(use, axis=0), tokens[where])
-        out[where[order]] = got
+    before, (start, end, skips) = _before(v, tokens, lengths), windows(lengths, OVERLAP)
+    output = _Output(p, v, batch * WINDOW)
+    for skip in (0, OVERLAP):
+        chosen = np.flatnonzero(skips == skip)
+        for k in range(0, len(chosen), batch):
+            spots = start[chosen[k : k + batch], None] + np.arange(WINDOW)
+            last = end[chosen[k : k + batch], None]
+            use = np.flatnonzero(spots[:, skip:] < last)
+            np.minimum(spots, last - 1, out=spots)  # places past a text's end are never used, nor seen by those before
+            where = spots[:, skip:].ravel()[use]
+            order, got, _ = output(_states(p, before[spots], skip)[0], use, tokens[where])
+            out[where[order]] = got
     return out
 
 
@@ -203,7 +219,7 @@ def gradients(p: Params, v: Vocabulary, x_ids: np.ndarray, y: np.ndarray, use: n
     g: Params = {}
     at = np.flatnonzero(use)
     n = x.dtype.type(max(1, len(at)))
-    order, got, ds = (output or _Output(p, v, x_ids.size))(out.take(at, axis=0), y.ravel()[at], g)
+    order, got, ds = (output or _Output(p, v, x_ids.size))(out, at, y.ravel()[at], g)
     for name in g:
         g[name] /= n
     dh2 = np.zeros_like(out)
@@ -218,7 +234,7 @@ def gradients(p: Params, v: Vocabulary, x_ids: np.ndarray, y: np.ndarray, use: n
     g["o"] = two(u).T @ dh
     du = (dh @ p["o"].T).reshape(x.shape)
     da = np.matmul(du, val.transpose(0, 2, 1))
-    da -= np.matmul(da * a, np.ones((WINDOW, 1), a.dtype))
+    da -= np.einsum("ijk,ijk->ij", du, u)[..., None]  # the sums of da * a
     da *= a
     dq, dk, dv = np.matmul(da, k) * x.dtype.type(WIDTH**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), du)
     g["q"], g["k"], g["v"] = (two(x).T @ two(w) for w in (dq, dk, dv))

@@ -514,6 +514,14 @@ def test_scores_equal_a_plain_pass_over_windows():
     assert np.allclose(lm_model.score(p, v, tokens, lengths, batch=3), want, atol=1e-6) and len(want) == lengths.sum()
 
 
+def test_states_without_the_context_places():
+    v, p = small_model(6)
+    x = np.random.default_rng(7).integers(0, lm_model.ROWS, (3, lm_model.WINDOW))
+    whole = lm_model._states(p, x)[0].reshape(3, lm_model.WINDOW, -1)
+    later = lm_model._states(p, x, lm_model.OVERLAP)[0].reshape(3, lm_model.WINDOW - lm_model.OVERLAP, -1)
+    assert np.allclose(later, whole[:, lm_model.OVERLAP :], atol=1e-12)
+
+
 def test_training_learns():
     r = np.random.default_rng(4)
     tokens = np.where(np.arange(60_000) % 3 == 0, 7, r.integers(20, 60, 60_000))
