@@ -18,12 +18,25 @@ WINDOW, OVERLAP = 32, 8
 Params = dict[str, np.ndarray]
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def word_starts(path: str) -> np.ndarray:
+    """Whether a subword begins a word, by id; the last is the end of a text."""
+    ranks = _ranks(path)
+    out = np.zeros(max(ranks.values()) + 2, bool)
+    out[[k for piece, k in ranks.items() if piece[:1] == b" "]] = True
+    out[-1] = True
+    return out
+
+
 def encoder(path: str):
     """A function from a word to its subword ids, and how many ids there are. The vocabulary is the whole public file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = _ranks(path)
     own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     piece = own._core_bpe.encode_single_piece
     return (lambda word: piece(b" " + word)), max(ranks.values()) + 1  # a word is one piece: nothing to split by pattern

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +22,8 @@ HOT = 1 << 17
 ROUNDS, TASK_TOKENS = 4, 2_000_000
 #: Subwords that a task trains on at once.
 STEP_TOKENS = 1_000_000
-#: Words that a Python worker scores at once, and distinct words that it keeps the subwords of.
-CHUNK, LEXICON = 120_000, 250_000
+#: Subwords that a Python worker scores at once, those whose words it counts at once, and distinct words that it keeps the subwords of.
+CHUNK, COUNTED, LEXICON = 300_000, 8_000_000, 250_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -33,59 +31,101 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def tokens_of(text) -> list[bytes]:
-    return text.as_py().encode("utf-8", "surrogatepass").lower().split() if text.is_valid else []
+class _Pieces(dict):
+    """Words of a worker to their packed subword ids, begun anew when it holds LEXICON of them."""
 
+    def __init__(self, encode, kind: str):
+        super().__init__()
+        self.encode, self.kind = encode, kind
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and count of each word, combined within the task as far as memory allows."""
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= LEXICON:
+            self.clear()
+        ids = self[word] = array(self.kind, self.encode(word)).tobytes()
+        return ids
 
-    def made(seen: Counter) -> pa.RecordBatch:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["word", "c"])
 
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(tokens_of(text))
-            if len(seen) > 2 * LEXICON:
-                yield made(seen)
-                seen = Counter()
-    if seen:
-        yield made(seen)
+def _ids(path: str):
+    """Rows (doc_id, held_out, spread, ids): a text's subword ids with an end id after them, two bytes each, or four in a large vocabulary."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = M.encoder(path)
+        pieces = _Pieces(encode, _kind(end))
+        last = array(_kind(end), [end]).tobytes()
+        for batch in batches:
+            rows = [b"".join(map(pieces.__getitem__, text.as_py().lower().split())) + last if text.is_valid else last for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], names=["doc_id", "held_out", "spread", "ids"])
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (64-bit hash), c over all rows of texts (one column)."""
-    return texts.mapInArrow(_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return run
 
 
-def _ids(path: str):
-    """Rows (spread, ids): a text's subword ids with an end id after them, two bytes each, or four in a large vocabulary."""
+def subwords(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, held_out, spread, ids of texts (doc_id, held_out, spread, text)."""
+    given = texts.select("doc_id", "held_out", "spread", F.col("text").cast("binary"))
+    return given.mapInArrow(_ids(tokenizer), "doc_id long, held_out boolean, spread long, ids binary")
+
+
+def _kind(end: int) -> str:
+    return "H" if end < 1 << 16 else "I"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finalizer of splitmix64."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words:
+    """Words out of subword ids. A word is encoded with a space before it and has none inside, so a subword that begins with
+    a space begins a word; the end is a word of its own. A word's subwords are its bytes, so a hash of them is one of the word."""
+
+    def __init__(self, path: str):
+        self.first = M.word_starts(path)
+        self.of_id = _mixed(np.arange(1, len(self.first) + 1))
+        self.of_place = np.zeros(0, np.uint64)
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start, and their 64-bit hashes: sums of a number by subword times an odd one by place."""
+        starts = np.flatnonzero(self.first.take(ids))
+        if not len(starts):
+            return starts, np.zeros(0, np.int64)
+        lengths = np.diff(starts, append=len(ids))
+        if lengths.max() > len(self.of_place):
+            self.of_place = _mixed((1 << 32) + np.arange(2 * lengths.max())) | np.uint64(1)
+        place = np.arange(len(ids)) - np.repeat(starts, lengths)
+        return starts, _mixed(np.add.reduceat(self.of_id.take(ids) * self.of_place.take(place), starts)).view(np.int64)
+
+
+def _counts(path: str):
+    """Hash and count of each word, the end included, combined for COUNTED subwords at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = M.encoder(path)
-        kind, known = _kind(end), {}
+        words = _Words(path)
+        kind = _kind(len(words.first) - 1)
+
+        def made(held: list[bytes]) -> pa.RecordBatch:
+            hashes, counts = np.unique(words(np.frombuffer(b"".join(held), kind))[1], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.astype(np.int64))], names=["word", "c"])
+
+        held, size = [], 0
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                out = []
-                for w in tokens_of(text):
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = encode(w)
-                        if len(known) < LEXICON:
-                            known[w] = ids
-                    out += ids
-                out.append(end)
-                rows.append(np.array(out, kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["spread", "ids"])
+            for ids in batch.column(0).to_pylist():
+                held.append(ids)
+                size += len(ids)
+                if size >= COUNTED * np.dtype(kind).itemsize:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
 
     return run
 
 
-def _kind(end: int) -> str:
-    return "<u2" if end < 1 << 16 else "<u4"
+def word_counts(ids: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """word (64-bit hash), c over all rows of ids (one column), the end included."""
+    return ids.mapInArrow(_counts(tokenizer), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _subword_counts(end: int):
@@ -156,15 +196,22 @@ def _fitted(end: int, sent, seed: int):
 
 
 def fit(train: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> dict:
-    """`params` (the model's weights, packed) and `counts` (of all subwords) from texts (columns text, spread: a hash).
+    """The model of texts (columns text, spread: a hash), as fit_ids makes it of their subwords."""
+    none = F.lit(None)
+    ids = materialise(subwords(train.select(none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), "spread", "text"), tokenizer), "lm-ids")
+    model = fit_ids(ids, M.encoder(tokenizer)[1], rounds, task_tokens)
+    release(ids)
+    return model
+
+
+def fit_ids(ids: DataFrame, end: int, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> dict:
+    """`params` (the model's weights, packed) and `counts` (of all subwords) from texts as subwords (columns ids, spread: a hash).
 
     The counts are those of all documents. Each round takes another share of the documents, and each document is in one.
     A round's documents are dealt out by hash to tasks of about task_tokens subwords. Every task trains on its own part
     from the same weights; the mean of theirs, by tokens, starts the next round. A task holds STEP_TOKENS and one text.
     """
-    spark = train.sparkSession
-    end = M.encoder(tokenizer)[1]
-    ids = materialise(train.select("text", "spread").mapInArrow(_ids(tokenizer), "spread long, ids binary"), "lm-ids")
+    spark = ids.sparkSession
     size, counts = _total(ids.select("ids").mapInArrow(_subword_counts(end), _BLOB), "<i8")
     counts = counts if counts is not None else np.ones(end + 1)
     v = M.Vocabulary(counts)
@@ -176,104 +223,53 @@ def fit(train: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, task
         seen, total = _total(part.mapInArrow(_fitted(end, sent, k), _BLOB), "<f8")
         if seen:
             p = (total / seen).astype("<f4").tobytes()
-    release(ids)
     return {"params": p, "counts": counts}
 
 
-class _Lexicon(dict):
-    """Words of a worker to small numbers; arrays hold each word's count, hash and subwords."""
-
-    def __init__(self, encode, hot: dict[int, int], hot_counts: np.ndarray):
-        super().__init__()
-        self.encode, self.hot, self.hot_counts = encode, hot, hot_counts
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.subs: list = []
-        self.hashes: list[int] = []
-        self.counts: list[int] = []  # -1: not a frequent word
-        self.size = 0
-        self.done = [np.zeros(0, np.int64) for _ in range(4)]  # counts, hashes, lengths, subwords end to end
-
-    def __len__(self) -> int:
-        return self.size + len(self.subs)
-
-    def arrays(self) -> list[np.ndarray]:
-        """All words' arrays; only words new since the last call are turned into arrays."""
-        if self.subs:
-            new = [np.array(self.counts, np.int64), np.array(self.hashes, np.uint64).view(np.int64), np.fromiter(map(len, self.subs), np.int64, len(self.subs)), np.fromiter(chain.from_iterable(self.subs), np.int64)]
-            self.done = [np.concatenate(x) for x in zip(self.done, new, strict=True)]
-            self.size += len(self.subs)
-            self.subs, self.hashes, self.counts = [], [], []
-        return self.done
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = self.size + len(self.subs)
-        h = xxhash.xxh3_64_intdigest(word)
-        self.hashes.append(h)
-        at = self.hot.get(h - (1 << 64) if h >> 63 else h)
-        self.counts.append(-1 if at is None else int(self.hot_counts[at]))
-        self.subs.append(self.encode(word))
-        return k
-
-
 def _score(path: str, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         M.keep_memory()
         g = sent.value
         vocabulary = M.Vocabulary(g["model"]["counts"])
-        p, n, v, end_count = M.unpacked_params(g["model"]["params"], vocabulary), g["n"], g["v"], g["ends"]
-        below = n + 0.5 * (v + 1)
-        encode, end = M.encoder(path)
-        lexicon = _Lexicon(encode, {int(h): k for k, h in enumerate(g["words"])}, g["hot"])
+        p, below, hot = M.unpacked_params(g["model"]["params"], vocabulary), g["n"] + 0.5 * (g["v"] + 1), g["words"]
+        words = _Words(path)
+        kind = np.dtype(_kind(len(words.first) - 1))
         row = partition_id() << 40
         pending: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal pending, held, row
-            sizes = np.array([len(x[2]) for x in pending], np.int64)
-            flat = np.concatenate([x[2] for x in pending]) if sizes.sum() else np.zeros(0, np.int64)
-            counts, hashes, length, store = lexicon.arrays()
-            offset = np.cumsum(length) - length
-            # the end is one more word, with one subword
-            word_count, word_len = np.append(counts, end_count), np.append(length, 1)
-            store, offset = np.append(store, end), np.append(offset, len(store))
-            ends = np.cumsum(sizes + 1) - 1
-            ids = np.full(int((sizes + 1).sum()), len(counts), np.int64)
-            body = np.ones(len(ids), bool)
-            body[ends] = False
-            ids[body] = flat
-            lens = word_len[ids]
-            first = np.cumsum(lens) - lens
-            tokens = store[np.repeat(offset[ids] - first, lens) + np.arange(int(lens.sum()))]
-            starts = np.r_[0, ends[:-1] + 1]
-            per_text = np.add.reduceat(lens, starts)
-            model = np.add.reduceat(M.score(p, vocabulary, tokens, per_text), np.cumsum(per_text) - per_text, dtype=np.float64) / np.log(10)
-            c = word_count[ids]
-            base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / below), 0.0), starts)
-            known = np.add.reduceat((c > 0).astype(np.int64), starts)
+            tokens = np.frombuffer(b"".join([x[2] for x in pending]), kind)
+            per_text = np.array([len(x[2]) // kind.itemsize for x in pending], np.int64)
+            text_starts = np.cumsum(per_text) - per_text  # a text has its end at least
+            model = np.add.reduceat(M.score(p, vocabulary, tokens.astype(np.int64), per_text), text_starts, dtype=np.float64) / np.log(10)
+            word_starts, hashes = words(tokens)
+            starts = np.searchsorted(word_starts, text_starts)
+            hashes, ids = np.unique(hashes, return_inverse=True)
+            at = np.searchsorted(hot, hashes)
+            at[at == len(hot)] = 0
+            c = np.where(hot[at] == hashes, g["hot"][at], -1) if len(hot) else np.full(len(hashes), -1)  # -1: not a frequent word
+            base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / below), 0.0)[ids], starts)
+            known = np.add.reduceat((c > 0).astype(np.int64)[ids], starts)
             # words whose counts are met in a join: each once a text, with how often
-            rare = np.flatnonzero(c < 0)
-            text_of = np.searchsorted(ends, rare)
-            pairs, times = np.unique(text_of * (len(counts) + 1) + ids[rare], return_counts=True)
-            rare_text, rare_word = np.divmod(pairs, len(counts) + 1)
+            rare = np.flatnonzero((c < 0)[ids])
+            text_of = np.searchsorted(starts, rare, "right") - 1
+            pairs, times = np.unique(text_of * len(hashes) + ids[rare], return_counts=True)
+            rare_text, rare_word = np.divmod(pairs, len(hashes))
             offsets = pa.array(np.searchsorted(rare_text, np.arange(len(pending) + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[rare_word], times.astype(np.int32))]
-            columns = [pa.array(row + np.arange(len(pending))), pa.array([x[0] for x in pending], pa.int64()), pa.array([x[1] for x in pending], pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(model), *lists]
+            sizes = np.diff(starts, append=len(ids))
+            columns = [pa.array(row + np.arange(len(pending))), pa.array([x[0] for x in pending], pa.int64()), pa.array([x[1] for x in pending], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), *lists]
             row += len(pending)
             pending, held = [], 0
-            if len(lexicon) > LEXICON:
-                lexicon.reset()
             return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
 
         for batch in batches:
-            for doc, held_now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = tokens_of(text)
-                pending.append((doc, held_now, np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))))
-                held += len(words) + 1
-                if held >= CHUNK:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pending.append(x)
+                held += len(x[2])
+                if held >= CHUNK * kind.itemsize:
                     yield flush()
         if pending:
             yield flush()
@@ -292,10 +288,10 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), docs[text].alias("text"))
-    train = d.where("not held_out")
-    counts = materialise(word_counts(train.select("text")), "lm-counts")
-    n_words, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
+    ids = materialise(subwords(d.withColumn("spread", F.xxhash64("doc_id", "text", F.lit(11))), tokenizer), "lm-ids")
+    train = ids.where("not held_out").select("spread", "ids")
+    counts = materialise(word_counts(train.select("ids"), tokenizer), "lm-counts")
+    n_tokens, n_kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = F.floor(F.log2("c") * 8).cast("int").alias("size")
     by_size = sorted(counts.groupBy(size).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), reverse=True)  # 512 rows at most
     room, least = HOT, None
@@ -305,11 +301,12 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tok
         room, least = room - r["n"], r["least"]
     hot = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()  # HOT rows at most
     order = np.argsort(hot.column("word").to_numpy())
-    model = fit(train.select("text", F.xxhash64("doc_id", "text", F.lit(11)).alias("spread")), tokenizer)
-    given = {"model": model, "n": int(n_words) + ends, "v": int(n_kinds) + (ends > 0), "ends": ends, "words": hot.column("word").to_numpy()[order], "hot": hot.column("c").to_numpy()[order]}
+    model = fit_ids(train, M.encoder(tokenizer)[1])
+    given = {"model": model, "n": int(n_tokens), "v": int(n_kinds), "words": hot.column("word").to_numpy()[order], "hot": hot.column("c").to_numpy()[order]}
     sent = spark.sparkContext.broadcast(given)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
-    scored = materialise(d.mapInArrow(_score(tokenizer, sent), kinds), "lm-scored")
+    scored = materialise(ids.select("doc_id", "held_out", "ids").mapInArrow(_score(tokenizer, sent), kinds), "lm-scored")
+    release(ids)
     below = F.lit(given["n"] + 0.5 * (given["v"] + 1))
     cold = counts.where(F.col("c") < (least if least is not None else 1 << 62))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

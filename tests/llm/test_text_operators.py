@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -542,6 +543,24 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_words_of_subwords():
+    """Texts are encoded once; their words are found again in the subwords, alike exactly where the words are."""
+    texts = [prose(300, 9) + " é " + "z" * 3000 + " zz\x0bzz Zz", "", None, " \t\x1c \x85 \u00a0a", "ab ba a b a", "\n"]
+    given = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([False] * 6), pa.array(range(6)), pa.array([t and t.encode() for t in texts], pa.binary())], names=["doc_id", "held_out", "spread", "text"])
+    (out,) = lm_scoring._ids(lm_scoring.TOKENIZER)(iter([given]))
+    encode, end = lm_model.encoder(lm_scoring.TOKENIZER)
+    split = [(t or "").encode().lower().split() for t in texts]
+    ids = [np.frombuffer(x, lm_scoring._kind(end)) for x in out.column(3).to_pylist()]
+    assert [x.tolist() for x in ids] == [[k for w in ws for k in encode(w)] + [end] for ws in split]
+    flat, every = np.concatenate(ids), [w for ws in split for w in [*ws, None]]
+    starts, hashes = lm_scoring._Words(lm_scoring.TOKENIZER)(flat)
+    assert np.diff(starts, append=len(flat)).tolist() == [len(encode(w)) if w is not None else 1 for w in every]
+    assert len(set(zip(every, hashes, strict=True))) == len(set(every)) == len(set(hashes))
+    (counts,) = lm_scoring._counts(lm_scoring.TOKENIZER)(iter([out.select(["ids"])]))
+    of = dict(zip(every, hashes.tolist(), strict=True))
+    assert dict(zip(*(c.to_pylist() for c in counts.columns), strict=True)) == {of[w]: n for w, n in Counter(every).items()}
+
+
 def test_windows_overlap():
     v, p = small_model(5)
     tokens, lengths = np.random.default_rng(4).integers(0, v.size, 90), np.array([90])
