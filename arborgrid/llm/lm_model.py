@@ -66,6 +66,8 @@ class Vocabulary:
             starts.append(k)
         self.starts = np.array([*starts, head])
         self.classes = len(starts)  # the number of the class of the rest
+        sizes = np.diff(self.starts)
+        self.columns = np.append(np.where(sizes > 1, sizes, 0), 0)  # scores within a class, by class
         self.of = np.where(inside, np.searchsorted(self.starts, self.rank, "right") - 1, self.classes).astype(np.uint8)
         rest = np.where(inside, 0.0, c + 0.5)
         with np.errstate(divide="ignore"):
@@ -96,6 +98,8 @@ def keep_memory() -> None:
         library.mallopt(-1, 256 << 20)
 
 
+#: Windows whose states scoring makes at once, so that they stay in a core's cache.
+PIECE = 64
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -109,18 +113,16 @@ class _Output:
         self.buffer, self.ones, self.rows = np.empty(most * self.widest, kind), np.ones((self.widest, 1), kind), np.arange(most)
         self.states = np.ones((most, WIDTH + 1), kind)  # the last column, always 1, meets the biases
 
-    def _exp(self, h: np.ndarray, w: np.ndarray, at: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """exp of the scores of each row, their sum, and the own column's score."""
-        n = w.shape[1]
-        x = np.matmul(h, w, out=self.buffer[: len(h) * n].reshape(len(h), n))
+    def _exp(self, x: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
+        """The scores at some places of a flat array, which becomes its exp."""
         if not tame:
             x.clip(-60, 60, out=x)  # so that exp needs no maximum; far beyond what trained weights give
-        own = x.ravel().take(self.rows[: len(h)] * n + at)
+        own = x.take(at)
         np.exp(x, out=x)
-        return x, (x @ self.ones[:n])[:, 0], own
+        return own
 
     def __call__(self, states: np.ndarray, use: np.ndarray, y: np.ndarray, gradient: Params | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """y: the targets of the states at rows use. Their order by class, ln P and the states' gradient (of -sum ln P) if gradient is given."""
+        """y: the targets of the states at rows use. Their order by class, ln P and the states' gradient (of the mean of -ln P) if gradient is given."""
         p, v = self.p, self.v
         c = v.of[y]
         order = np.argsort(c, kind="stable")
@@ -130,51 +132,70 @@ class _Output:
         cls, mem = np.vstack([p["cls"], p["cls_b"]]), np.vstack([p["mem"].T, p["mem_b"]])
         longest = lambda a, axis: float(np.einsum("ij,ij->j" if axis else "ij,ij->i", a, a).max(initial=0)) ** 0.5
         tame = longest(h, 0) * max(longest(cls, 1), longest(mem, 1)) < 59  # no score can reach the clip: it would change nothing
-        x, total, own = self._exp(h, cls, c, tame)
+        dh, share = None, h.dtype.type(1 / max(1, len(y)))
+        n = cls.shape[1]
+        x = np.matmul(h, cls, out=self.buffer[: len(y) * n].reshape(len(y), n))
+        at = self.rows[: len(y)] * n + c
+        own, total = self._exp(x.ravel(), at, tame), (x @ self.ones[:n])[:, 0]
         got = own - np.log(total)
-        dh = None
         if gradient is not None:
-            x /= total[:, None]
-            x.ravel()[self.rows[: len(x)] * x.shape[1] + c] -= 1
-            both = h.T @ x
+            x *= (share / total)[:, None]
+            x.ravel()[at] -= share
+            both = (x.T @ h).T
             gradient["cls"], gradient["cls_b"] = both[:-1], both[-1]
-            gradient["mem"], gradient["mem_b"] = np.zeros_like(p["mem"]), np.zeros_like(p["mem_b"])
             dh = x @ p["cls"].T
-        ends = np.searchsorted(c, np.arange(v.classes + 2))
-        for k in range(v.classes):
-            a, b, s, e = ends[k], ends[k + 1], v.starts[k], v.starts[k + 1]
-            if a == b or e - s == 1:  # a class of one is certain
-                continue
-            at = v.rank[y[a:b]] - s
-            x, total, own = self._exp(h[a:b], mem[:, s:e], at, tame)
-            got[a:b] += own - np.log(total)
-            if gradient is not None:
-                x /= total[:, None]
-                x.ravel()[self.rows[: b - a] * (e - s) + at] -= 1
-                both = x.T @ h[a:b]
-                gradient["mem"][s:e], gradient["mem_b"][s:e] = both[:, :-1], both[:, -1]
-                dh[a:b] += x @ p["mem"][s:e]
+        # one flat array holds each row's scores of its own class; a class of one is certain and has none
+        ends, sizes = np.searchsorted(c, np.arange(v.classes + 2)), v.columns[c]
+        begin = np.cumsum(sizes) - sizes
+        x = self.buffer[: sizes.sum()]
+        parts = [(a, b, s, e, x[begin[a] : begin[a] + (b - a) * (e - s)].reshape(b - a, e - s)) for a, b, s, e in zip(ends, ends[1:], v.starts, v.starts[1:], strict=False) if a < b and e - s > 1]
+        for a, b, s, e, part in parts:
+            np.matmul(h[a:b], mem[:, s:e], out=part)
+        live = np.flatnonzero(sizes)
+        at = begin[live] + v.rank[y[live]] - v.starts[c[live]]
+        own, total = self._exp(x, at, tame), np.ones((len(y), 1), h.dtype)
+        for a, b, s, e, part in parts:
+            np.matmul(part, self.ones[: e - s], out=total[a:b])
+        got[live] += own - np.log(total[live, 0])
+        if gradient is not None:
+            weight, members = share / total, np.hstack([p["mem"], p["mem_b"][:, None]])
+            for a, b, _, _, part in parts:
+                part *= weight[a:b]
+            x[at] -= share
+            both, more = np.zeros_like(members), np.zeros_like(h)
+            for a, b, s, e, part in parts:
+                np.matmul(part.T, h[a:b], out=both[s:e])
+                np.matmul(part, members[s:e], out=more[a:b])
+            gradient["mem"], gradient["mem_b"] = both[:, :-1], both[:, -1]
+            dh += more[:, :-1]
         rest = ends[v.classes]
         got[rest:] += v.tail[y[rest:]]
         return order, got, dh
 
 
+def _inward(p: Params) -> np.ndarray:
+    return np.concatenate([p["q"] * p["q"].dtype.type(WIDTH**-0.5), p["k"], p["v"]], 1)
+
+
 def _states(p: Params, x_ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
     """The block's output for windows of input rows (windows, WINDOW), and what the gradient needs. The first skip places are
     keys and values only: they have no output."""
     x = p["embed"].take(x_ids, axis=0)
     x += p["place"]
     flat = x.reshape(-1, WIDTH)
-    three = (flat @ np.concatenate([p["q"] * x.dtype.type(WIDTH**-0.5), p["k"], p["v"]], 1)).reshape(len(x), WINDOW, 3 * WIDTH)
-    q, k, v = (np.ascontiguousarray(three[:, a:, j : j + WIDTH]) for a, j in ((skip, 0), (0, WIDTH), (0, 2 * WIDTH)))
+    three = (flat @ _inward(p)).reshape(len(x), WINDOW, 3 * WIDTH)
+    q, k = (np.ascontiguousarray(three[:, a:, j : j + WIDTH]) for a, j in ((skip, 0), (0, WIDTH)))
+    v = np.ones((len(x), WINDOW, WIDTH + 1), x.dtype)  # the last column, always 1, makes the sums of the weights
+    v[:, :, :-1] = three[:, :, 2 * WIDTH :]
     if skip:
         flat = x[:, skip:].reshape(-1, WIDTH)
     s = np.matmul(q, k.transpose(0, 2, 1))
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
     s *= _MASK[skip:]
-    s /= np.matmul(s, np.ones((WINDOW, 1), s.dtype))
     u = np.matmul(s, v)
+    total = u[:, :, -1:]
+    u = u[:, :, :-1] / total
     h = u.reshape(-1, WIDTH) @ p["o"]
     h += flat
     r = h @ p["up"]
@@ -182,7 +203,7 @@ def _states(p: Params, x_ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tu
     np.maximum(r, 0, out=r)
     out = r @ p["down"]
     out += h
-    return out, (x, q, k, v, s, u, h, r)
+    return out, (x, q, k, v, s, total, u, h, r)
 
 
 def windows(lengths: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +226,7 @@ def _before(v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return before
 
 
-def score(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
+def score(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
     """ln P of each token given those before it in its text, within the window. Each token is scored in one window only:
     the first OVERLAP tokens of every window but a text's first are context."""
     out = np.zeros(len(tokens), p["embed"].dtype)
@@ -221,43 +242,48 @@ def score(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, bat
             use = np.flatnonzero(spots[:, skip:] < last)
             np.minimum(spots, last - 1, out=spots)  # places past a text's end are never used, nor seen by those before
             where = spots[:, skip:].ravel()[use]
-            order, got, _ = output(_states(p, before[spots], skip)[0], use, tokens[where])
+            states = np.concatenate([_states(p, before[spots[j : j + PIECE]], skip)[0] for j in range(0, len(spots), PIECE)])
+            order, got, _ = output(states, use, tokens[where])
             out[where[order]] = got
     return out
 
 
 def gradients(p: Params, v: Vocabulary, x_ids: np.ndarray, y: np.ndarray, use: np.ndarray, output: _Output | None = None) -> tuple[float, Params]:
     """Mean loss over the used targets and its gradients. x_ids (input rows), y (tokens), use: (batch, WINDOW)."""
-    out, (x, q, k, val, a, u, h, r) = _states(p, x_ids)
+    out, (x, q, k, val, a, total, u, h, r) = _states(p, x_ids)
     g: Params = {}
     at = np.flatnonzero(use)
-    n = x.dtype.type(max(1, len(at)))
     order, got, ds = (output or _Output(p, v, x_ids.size))(out, at, y.ravel()[at], g)
-    for name in g:
-        g[name] /= n
     dh2 = np.zeros_like(out)
-    dh2[at[order]] = ds / n
+    dh2[at[order]] = ds
     two = lambda w: w.reshape(-1, w.shape[-1])
     g["down"] = r.T @ dh2
     dz = dh2 @ p["down"].T
     dz *= r > 0
-    g["up"], g["up_b"] = h.T @ dz, dz.sum(0)
+    g["up"], g["up_b"] = (dz.T @ h).T, dz.sum(0)
     dh = dz @ p["up"].T
     dh += dh2
     g["o"] = two(u).T @ dh
-    du = (dh @ p["o"].T).reshape(x.shape)
+    du = np.empty_like(val)  # of the sums before they are divided by total, which has the last column
+    np.divide((dh @ p["o"].T).reshape(x.shape), total, out=du[:, :, :-1])
+    np.negative(np.einsum("ijk,ijk->ij", du[:, :, :-1], u), out=du[:, :, -1])
     da = np.matmul(du, val.transpose(0, 2, 1))
-    da -= np.einsum("ijk,ijk->ij", du, u)[..., None]  # the sums of da * a
     da *= a
-    dq, dk, dv = np.matmul(da, k) * x.dtype.type(WIDTH**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), du)
-    g["q"], g["k"], g["v"] = (two(x).T @ two(w) for w in (dq, dk, dv))
-    dh += two(dq) @ p["q"].T
-    dh += two(dk) @ p["k"].T
-    dh += two(dv) @ p["v"].T
+    three = np.empty((*x.shape[:2], 3 * WIDTH), x.dtype)
+    three[:, :, :WIDTH] = np.matmul(da, k)
+    three[:, :, WIDTH : 2 * WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
+    three[:, :, 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), du)[:, :, :-1]
+    g["q"], g["k"], g["v"] = np.split((two(three).T @ two(x)).T, 3, 1)
+    g["q"] = g["q"] * x.dtype.type(WIDTH**-0.5)
+    dh += two(three) @ _inward(p).T
     g["place"] = dh.reshape(x.shape).sum(0)
-    rows = x_ids.ravel()
-    g["embed"] = np.stack([np.bincount(rows, dh[:, j], ROWS) for j in range(WIDTH)], 1).astype(x.dtype)
-    return -float(got.sum()) / float(n), g
+    rows = x_ids.ravel().astype(np.uint16)
+    by_row = np.argsort(rows, kind="stable")
+    rows = rows[by_row]
+    starts = np.flatnonzero(np.diff(rows, prepend=ROWS))
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][rows[starts]] = np.add.reduceat(dh.take(by_row, axis=0), starts, axis=0)
+    return -float(got.sum()) / max(1, len(at)), g
 
 
 def train(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, rate: float = 0.01, batch: int = 128, seed: int = 3) -> tuple[Params, list[float]]:
@@ -267,8 +293,10 @@ def train(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, rat
     if not len(start):
         return p, []
     before = _before(v, tokens, lengths)
-    p = {n: w.copy() for n, w in p.items()}
-    one, two = {n: np.zeros_like(w) for n, w in p.items()}, {n: np.zeros_like(w) for n, w in p.items()}
+    shapes, every = {n: w.shape for n, w in p.items()}, np.concatenate([w.ravel() for w in p.values()])
+    cuts = np.cumsum([w.size for w in p.values()])[:-1]
+    p = {n: w.reshape(shape) for (n, shape), w in zip(shapes.items(), np.split(every, cuts), strict=True)}  # views of one array
+    one, two, d, spare = (np.zeros_like(every) for _ in range(4))
     losses, t, total = [], 0, -(-len(start) // batch)
     at, output = np.arange(WINDOW), _Output(p, v, batch * WINDOW)
     order = np.random.default_rng(seed).permutation(len(start))
@@ -281,18 +309,18 @@ def train(p: Params, v: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, rat
         losses.append(loss)
         t += 1
         now = rate * min(1.0, t / 20) * (1 - 0.9 * t / total)
-        for n, d in g.items():
-            one[n] += (d - one[n]) * 0.1
-            d *= d
-            d -= two[n]
-            d *= 0.01
-            two[n] += d
-            np.multiply(two[n], 1 / (1 - 0.99**t), out=d)
-            np.sqrt(d, out=d)
-            d += 1e-8
-            np.divide(one[n], d, out=d)
-            d *= now / (1 - 0.9**t)
-            p[n] -= d
+        np.concatenate([g[n].ravel() for n in shapes], out=d)
+        one *= 0.9
+        one += np.multiply(d, 0.1, out=spare)
+        two *= 0.99
+        d *= d
+        two += np.multiply(d, 0.01, out=spare)
+        np.multiply(two, 1 / (1 - 0.99**t), out=d)
+        np.sqrt(d, out=d)
+        d += 1e-8
+        np.divide(one, d, out=d)
+        d *= now / (1 - 0.9**t)
+        every -= d
     return p, losses
 
 

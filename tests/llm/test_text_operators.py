@@ -515,6 +515,25 @@ def test_scores_equal_a_plain_pass_over_windows():
     assert np.allclose(lm_model.score(p, v, tokens, lengths, batch=3), want, atol=1e-6) and len(want) == lengths.sum()
 
 
+def test_scores_do_not_depend_on_how_windows_are_held():
+    v, p = small_model(8)
+    lengths = np.array([5, 24 * 3 * lm_model.PIECE, 0, 700, 31])
+    tokens = np.random.default_rng(9).integers(0, v.size, lengths.sum())
+    assert np.allclose(lm_model.score(p, v, tokens, lengths, batch=7), lm_model.score(p, v, tokens, lengths), atol=1e-10)
+
+
+def test_gradients_without_targets_and_in_parts():
+    """No target gives no gradient; the mean of two halves of a batch is the batch's."""
+    v, p = small_model(10)
+    r = np.random.default_rng(11)
+    x, y = r.integers(0, lm_model.ROWS, (4, lm_model.WINDOW)), r.integers(0, v.size, (4, lm_model.WINDOW))
+    loss, none = lm_model.gradients(p, v, x, y, np.zeros(x.shape, bool))
+    assert loss == 0 and all(not w.any() for w in none.values())
+    every = np.ones(x.shape, bool)
+    (whole, g), (a, ga), (b, gb) = (lm_model.gradients(p, v, x[s], y[s], every[s]) for s in (slice(None), slice(2), slice(2, None)))
+    assert whole == pytest.approx((a + b) / 2) and all(np.allclose(g[n], (ga[n] + gb[n]) / 2, atol=1e-10) for n in p)
+
+
 def test_states_without_the_context_places():
     v, p = small_model(6)
     x = np.random.default_rng(7).integers(0, lm_model.ROWS, (3, lm_model.WINDOW))
