@@ -23,7 +23,7 @@ ROUNDS, TASK_TOKENS = 4, 2_000_000
 #: Subwords that a task trains on at once.
 STEP_TOKENS = 1_000_000
 #: Subwords that a Python worker scores at once, those whose words it counts at once, and distinct words that it keeps the subwords of.
-CHUNK, COUNTED, LEXICON = 300_000, 8_000_000, 250_000
+CHUNK, COUNTED, LEXICON = 300_000, 4_000_000, 250_000
 
 
 def held_out(doc_id: Column) -> Column:
